@@ -460,11 +460,6 @@ def _unique_voters(poll: int | None) -> dict[str, str]:
     }
 
 
-def _orphans(table: str, column: str, parent: str) -> str:
-    return (f"SELECT '{table}' AS table_name, 'orphan' AS fault, '{column}' AS columns, count(*) AS bad_rows FROM {table} x "
-            f"WHERE NOT EXISTS (SELECT 1 FROM {parent} y WHERE y.id = x.{column})")
-
-
 def oracle() -> dict[str, str]:
     out: dict[str, str] = {}
 
@@ -563,7 +558,8 @@ SELECT {columns} FROM ranked WHERE rn = 1
         "SELECT address, canonical FROM canonical")
     out["canonical_voter_at_poll_ends"] = _sql(
         {"ends": _EACH_POLL_END,
-         "asked": f"SELECT address, cut_id FROM ({wallets}) w, ends", **_canonical("asked")},
+         "asked": "SELECT DISTINCT v.voter AS address, e.cut_id FROM vote v, ends e WHERE e.poll_id = v.poll_id",
+         **_canonical("asked")},
         "SELECT address, cut_id, canonical FROM canonical")
 
     # Balances and set-form weights.
