@@ -140,35 +140,35 @@ def fold_upto(
     folds: Sequence[Fold],
     bits: int = ZONE_BITS,
 ) -> DataFrame:
-    """For every distinct asked ``(keys, pos)``: the folds over the history up to it.
+    """For every asked ``(keys, pos)``, once: the folds over the history up to it.
 
     The history may hold any number of rows per key and position.  Only zones
     that are asked for are looked at in detail; all others take part as one
     total each, so few questions to a long history move little data.
     """
     place = [*keys, _ZONE]
-    asked = asked.select(*keys, pos).distinct().withColumn(_ZONE, _zone_of(pos, bits))
-    asked_zones = asked.select(*place).distinct()
-    zoned = history.withColumn(_ZONE, _zone_of(pos, bits))
-
-    detail = (
-        zoned.join(asked_zones, place, "left_semi")
-        .groupBy(*place, pos).agg(*_flat(folds, "first"))
-    )
+    zone = _zone_of(pos, bits)
+    asked = asked.select(*keys, pos, zone)
+    zoned = history.withColumn(_ZONE, zone)
+
+    def with_marks(rows: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame:
+        """One row per group, with its folds and whether it is asked for."""
+        marked = rows.withColumn(_ASKED, F.lit(False)).unionByName(
+            marks.withColumn(_ASKED, F.lit(True)), allowMissingColumns=True
+        )
+        return marked.groupBy(*group).agg(
+            *_flat(folds, "first"), F.bool_or(_ASKED).alias(_ASKED)
+        )
+
+    detail = zoned.join(asked.select(*place), place, "left_semi")
     window = Window.partitionBy(*place).orderBy(pos)
     inside = (
-        detail.withColumn(_ASKED, F.lit(False))
-        .unionByName(asked.withColumn(_ASKED, F.lit(True)), allowMissingColumns=True)
-        .select(*place, pos, _ASKED, *_flat(folds, "over", window, "_in"))
-        .where(_ASKED)
+        with_marks(detail, asked, [*place, pos])
+        .select(*place, pos, _ASKED, *_flat(folds, "over", window, "_in")).where(_ASKED)
     )
-
     offsets = (
-        zoned.groupBy(*place).agg(*_flat(folds, "first"))
-        .withColumn(_ASKED, F.lit(False))
-        .unionByName(asked_zones.withColumn(_ASKED, F.lit(True)), allowMissingColumns=True)
-        .select(*place, _ASKED, *_flat(folds, "over", _before(keys), "_pre"))
-        .where(_ASKED)
+        with_marks(zoned.drop(pos), asked.drop(pos), place)
+        .select(*place, _ASKED, *_flat(folds, "over", _before(keys), "_pre")).where(_ASKED)
         .drop(_ASKED)
     )
     merged = [fold.merge("_in", "_pre") for fold in folds]

@@ -246,7 +246,7 @@ def current_votes(t: GovTables, addresses=EVERY, now: int | None = None) -> Data
         F.least(F.col("end_date").cast("bigint"), F.lit(now).cast("bigint")).alias("unix"),
     ).distinct()
     cuts = settle(blocks_at(t, ends).select("closes", "cut_id"), "cuts")
-    asked = settle(votes.join(cuts, "closes").select("address", "cut_id").distinct(), "asked")
+    asked = votes.join(cuts, "closes").select("address", "cut_id").distinct()
     voters = settle(
         canonical_voter(t, asked, PER_ROW)
         .select(F.col("address").alias("asker"), "cut_id", F.col("canonical").alias("address")),

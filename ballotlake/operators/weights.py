@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballotlake.functions.asof import EVERY, NOW, AsOf, only
-from ballotlake.functions.folds import PER_ROW, found_at, latest
+from ballotlake.functions.folds import PER_ROW, known_at, latest
 from ballotlake.functions.settle import settle
 from ballotlake.model import AMOUNT, RESULT, GovTables
 from ballotlake.operators.balances import ledger, own_balances
@@ -108,75 +108,66 @@ def _member(address, wallet: bool = True, locked: bool = True) -> Column:
     )
 
 
-def _weigh(t: GovTables, voters: DataFrame, members: DataFrame, cut) -> DataFrame:
-    """``voters`` with ``amount``: what their members hold at the cut."""
+def _weigh(t: GovTables, voters: DataFrame, members: Column, names: list[str], cut) -> DataFrame:
+    """``voters``, their columns named, with ``amount``: what their members hold at the cut."""
     place = ["address", "cut_id"] if cut is PER_ROW else ["address"]
+    whole = F.struct(*names).alias("voter")
+    asked = voters.select(whole, *place[1:], F.inline(members)).withColumnRenamed("member", "address")
     if cut is PER_ROW:
-        members = settle(members, "members")
-    asked = members.select(
-        F.col("member").alias("address"), F.col("address").alias("voter"), *place[1:],
-        "with_wallet", "with_locked",
-    )
+        asked = settle(asked, "members")
+    held = known_at(asked, _balance_history(t), "address", _HELD, cut)
     zero = F.lit(0).cast(AMOUNT)
     part = (
         F.when(F.col("with_wallet"), _or_zero("wallet")).otherwise(zero)
         + F.when(F.col("with_locked"), _or_zero("locked")).otherwise(zero)
     ).cast(AMOUNT)
-    sums = (
-        found_at(asked, _balance_history(t), "address", _HELD, cut)
-        .groupBy("voter", *place[1:]).agg(F.sum(part).alias("_sum"))
-        .withColumnRenamed("voter", "address")
+    return (
+        asked.join(held, place, "left").groupBy("voter").agg(F.sum(part).alias("amount"))
+        .select("voter.*", "amount")
     )
-    return voters.join(sums, place, "left").withColumn(
-        "amount", F.coalesce(F.col("_sum"), F.lit(0).cast(RESULT))
-    ).drop("_sum")
-
-
-def _asked(voters: DataFrame, cut) -> DataFrame:
-    return voters.select(*(["address", "cut_id"] if cut is PER_ROW else ["address"])).distinct()
 
 
 def canonical_weight(t: GovTables, voters: DataFrame, cut, legacy: bool = False) -> DataFrame:
     """``voters`` (column ``address``) with ``amount``, their weight at the cut.
 
-    A voter counts its own wallet and locked balance.  A proxy contract also
-    counts those of its hot and of its cold wallet, once if they are the same.
-    ``legacy`` is the rule of old polls: only the wallets of hot and cold, both
-    counted even if they are the same.  Balances are the stored ones with the
-    highest id up to the cut.
+    The rows must be distinct; all their columns are kept.  A voter counts its
+    own wallet and locked balance.  A proxy contract also counts those of its
+    hot and of its cold wallet, once if they are the same.  ``legacy`` is the
+    rule of old polls: only the wallets of hot and cold, both counted even if
+    they are the same.  Balances are the stored ones with the highest id up to
+    the cut.
     """
-    asked = _asked(voters, cut)
-    place = asked.columns
+    place = ["address", "cut_id"] if cut is PER_ROW else ["address"]
     contracts = t.proxy.select(
         F.col("vote_proxy").alias("address"), "block_id", "id", F.struct("hot", "cold").alias("pair")
     )
-    owned = found_at(asked, contracts, "address", [latest("pair", "pair", "id")], cut)
-    hot, cold = F.col("pair.hot"), F.col("pair.cold")
+    pairs = known_at(voters, contracts, "address", [latest("pair", "pair", "id")], cut)
+    own = F.array(_member(F.col("address")))
     if legacy:
-        wallets = F.array(_member(hot, locked=False), _member(cold, locked=False))
+        linked = F.array(_member(F.col("pair.hot"), locked=False), _member(F.col("pair.cold"), locked=False))
     else:
-        wallets = F.transform(F.array_distinct(F.array(hot, cold)), lambda wallet: _member(wallet))
-    own = asked.select(*place, F.inline(F.array(_member(F.col("address")))))
-    members = own.unionByName(owned.select(*place, F.inline(wallets)))
-    return _weigh(t, voters, members, cut)
+        wallets = F.array_distinct(F.array("pair.hot", "pair.cold"))
+        linked = F.transform(wallets, lambda wallet: _member(wallet))
+    members = F.when(F.col("pair").isNull(), own).otherwise(F.concat(own, linked))
+    return _weigh(t, voters.join(pairs, place, "left"), members, voters.columns, cut)
 
 
 def party_weight(t: GovTables, wallets: DataFrame, cut) -> DataFrame:
-    """``wallets`` (column ``address``) with ``amount``, seen from the wallet.
+    """``wallets`` (column ``address``, distinct rows) with ``amount``, seen from the wallet.
 
     Own wallet and locked balance, the locked balance of the newest proxy
     contract the wallet belongs to, and the wallet balance of its partner.
     """
-    asked = _asked(wallets, cut)
-    place = asked.columns
+    place = ["address", "cut_id"] if cut is PER_ROW else ["address"]
     link = F.struct("hot", "cold", "vote_proxy").alias("link")
     history = t.proxy.select(F.explode(parties()).alias("address"), "id", "block_id", link)
-    linked = found_at(asked, history, "address", [latest("link", "link", "id")], cut)
+    links = known_at(wallets, history, "address", [latest("link", "link", "id")], cut)
     partner = F.when(F.col("link.cold") == F.col("address"), F.col("link.hot")).otherwise(
         F.col("link.cold")
     )
-    own = asked.select(*place, F.inline(F.array(_member(F.col("address")))))
-    others = linked.select(*place, F.inline(F.array(
-        _member(F.col("link.vote_proxy"), wallet=False), _member(partner, locked=False),
-    )))
-    return _weigh(t, wallets, own.unionByName(others), cut)
+    own = F.array(_member(F.col("address")))
+    linked = F.array(
+        _member(F.col("link.vote_proxy"), wallet=False), _member(partner, locked=False)
+    )
+    members = F.when(F.col("link").isNull(), own).otherwise(F.concat(own, linked))
+    return _weigh(t, wallets.join(links, place, "left"), members, wallets.columns, cut)

@@ -14,6 +14,8 @@ join to the block and transaction tables, which have a row per block.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ def event_tables(spark: SparkSession, sf_dir: str, located: bool = True) -> GovT
     cents = F.col("value").cast("decimal(18,2)").cast(STORED)
     option = F.floor("value").cast("int") % 4
 
+    @cache
     def events() -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/events.parquet")
 
