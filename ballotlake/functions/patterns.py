@@ -11,4 +11,6 @@ def like_pattern(pattern: str | None) -> str | None:
     A backslash before an ordinary character stands for that character; Spark
     takes it only before ``%``, ``_`` and itself.
     """
-    return None if pattern is None else re.sub(r"\\([^%_\\])", r"\1", pattern)
+    if pattern is None:
+        return None
+    return re.sub(r"\\(.)", lambda pair: pair[0] if pair[1] in "%_\\" else pair[1], pattern)

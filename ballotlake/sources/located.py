@@ -33,7 +33,7 @@ def with_hash(facts: DataFrame, tx: DataFrame, how: str = "inner") -> DataFrame:
 
 def locate(facts: DataFrame, block: DataFrame, tx: DataFrame) -> DataFrame:
     """Every fact, with the three columns, NULL where the block or transaction is unknown."""
-    placed = at_block(facts, block, "left")
+    placed = at_block(facts, block, "left") if "block_id" in facts.columns else facts
     return with_hash(placed, tx, "left") if "tx_id" in placed.columns else placed
 
 
