@@ -9,7 +9,8 @@ axis into zones of ``2**ZONE_BITS`` positions and work in two levels:
    aggregation, before any shuffle), so a window over one key and one zone
    sees at most ``2**ZONE_BITS`` rows whatever the data looks like;
 2. one total per key and zone is folded over the zones of the key, at most
-   ``2**ZONE_BITS`` rows for positions below ``2**40``.
+   ``2**ZONE_BITS`` rows for positions below ``2**(2 * ZONE_BITS)``, which is
+   every 32-bit block id.
 
 Both folds are exact: a sum, and the value at the greatest order key.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ballotlake.functions.asof import as_limit
 from ballotlake.model import AMOUNT
 
-ZONE_BITS = 20
+ZONE_BITS = 16
 
 _ZONE = "_zone"
 _ASKED = "_asked"

@@ -62,6 +62,8 @@ def ledger(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
 
     One aggregation over the union of transfer sides and locks, so an address
     is shuffled once where two aggregates and a full outer join take three.
+    Addresses are never NULL; saying so gives every use of the ledger the same
+    plan, so that Spark computes it once.
     ``wallet`` is NULL unless the address received; ``locked`` is NULL unless
     it locked; sent-only addresses have neither.
     """
@@ -70,7 +72,8 @@ def ledger(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
         "address", F.lit(None).cast("decimal(28,18)").alias("change"),
         F.lit(False).alias("received"), F.col("change").alias("locked"),
     )
-    sums = wallet.unionByName(locked).groupBy("address").agg(
+    known = wallet.unionByName(locked).where(F.col("address").isNotNull())
+    sums = known.groupBy("address").agg(
         F.sum("change").cast(AMOUNT).alias("moved"),
         F.sum("locked").cast(AMOUNT).alias("locked"),
         F.bool_or("received").alias("holder"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballotlake.functions.asof import EVERY, only
 from ballotlake.functions.folds import fold_upto, total
+from ballotlake.functions.settle import settle
 from ballotlake.functions.times import utc
 from ballotlake.model import RESULT, GovTables
 from ballotlake.sources.located import at_block, with_hash
@@ -69,11 +70,12 @@ def lock_history(
     locks of one block share it; ``caller_totals`` adds one per contract.  The
     totals are folded from one sum per block, so neither a busy contract nor
     the total over everything gathers in one task, and blocks outside the
-    window only take part as sums.
+    window only take part as sums.  The distinct locks are written once and read
+    by each fold.
     """
     contract = "contract_address" if v2 else "immediate_caller"
     locks = only(t.delegate_lock if v2 else t.lock, contract, contracts)
-    rows = _placed(t, locks, v2)
+    rows = settle(_placed(t, locks, v2), "locks")
     shown = rows.where((F.col("block_ts") >= utc(start)) & (F.col("block_ts") <= utc(end)))
     totals = fold_upto(shown, rows, [], "block_number", [total("lock_total", "lock_amount")])
     out = shown.join(totals, "block_number")
