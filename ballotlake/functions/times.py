@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,16 +16,6 @@ def utc(seconds: int | Column | None) -> Column:
     return F.timestamp_add("SECOND", quantity, _epoch())
 
 
-def time_and_id(ts: Column, row_id: Column) -> Column:
-    """One number that orders by time, then by id, and that aggregates can keep in place.
-
-    Microseconds take 16 digits and a 64-bit id 19, which fits 38.
-    """
-    span = (ts - _epoch()).cast("interval second").cast("decimal(19,6)")
-    micros = (span * F.lit(1_000_000)).cast("decimal(19,0)")
-    return (micros * F.lit(Decimal(10**19)) + row_id.cast("decimal(19,0)")).cast("decimal(38,0)")
-
-
 def first_second_at(ts: Column) -> Column:
     """The smallest whole unix second that is not before ``ts``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballotlake.functions.asof import NOW, AsOf
@@ -58,14 +58,14 @@ def locked_balances(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
 
 
 def ledger(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
-    """Per address: wallet balance, locked balance, and whether it is a holder.
+    """Per address: what moved and what is locked, and whether it is a holder.
 
     One aggregation over the union of transfer sides and locks, so an address
     is shuffled once where two aggregates and a full outer join take three.
     Addresses are never NULL; saying so gives every use of the ledger the same
     plan, so that Spark computes it once.
-    ``wallet`` is NULL unless the address received; ``locked`` is NULL unless
-    it locked; sent-only addresses have neither.
+    ``moved`` counts as a wallet balance only for holders, see ``wallet_of``;
+    ``locked`` is NULL unless the address locked.
     """
     wallet = _wallet_moves(t, as_of).withColumn("locked", F.lit(None).cast("decimal(28,18)"))
     locked = _lock_moves(t, as_of).select(
@@ -73,14 +73,20 @@ def ledger(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
         F.lit(False).alias("received"), F.col("change").alias("locked"),
     )
     known = wallet.unionByName(locked).where(F.col("address").isNotNull())
-    sums = known.groupBy("address").agg(
+    return known.groupBy("address").agg(
         F.sum("change").cast(AMOUNT).alias("moved"),
         F.sum("locked").cast(AMOUNT).alias("locked"),
         F.bool_or("received").alias("holder"),
     )
-    return sums.select(
-        "address", F.when(F.col("holder"), F.col("moved")).alias("wallet"), "locked", "holder"
-    )
+
+
+def or_zero(amount: Column) -> Column:
+    return F.coalesce(amount, F.lit(0).cast(AMOUNT))
+
+
+def wallet_of() -> Column:
+    """The wallet balance of a ledger row: NULL unless the address received."""
+    return F.when(F.col("holder"), F.col("moved"))
 
 
 def own_balances(accounts: DataFrame) -> DataFrame:
@@ -91,8 +97,7 @@ def own_balances(accounts: DataFrame) -> DataFrame:
     """
     return accounts.where(F.col("holder") | F.col("locked").isNotNull()).select(
         F.when(F.col("holder"), F.col("address")).alias("address"),
-        (F.coalesce("wallet", F.lit(0).cast(AMOUNT)) + F.coalesce("locked", F.lit(0).cast(AMOUNT)))
-        .cast(RESULT).alias("balance"),
+        (or_zero(wallet_of()) + or_zero(F.col("locked"))).cast(RESULT).alias("balance"),
         F.col("address").alias("account"),
     )
 

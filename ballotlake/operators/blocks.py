@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ballotlake.functions.asof import unix
 from ballotlake.functions.folds import fold_upto, latest
-from ballotlake.functions.times import first_second_at, time_and_id
+from ballotlake.functions.times import first_second_at
 from ballotlake.model import GovTables
 
+SECOND_BITS = 12
+"""Zones of 4096 seconds: 2**19 of them span all 32-bit times, and few hold a request."""
+
 
 def _last_block(t: GovTables, seconds) -> DataFrame:
     """The block with the greatest time not after ``seconds``; equal times go to the higher id."""
@@ -45,10 +48,11 @@ def blocks_at(t: GovTables, requests: DataFrame) -> DataFrame:
     before the first block are dropped.
     """
     history = t.block.select(
-        first_second_at(F.col("block_ts")).alias("unix"), "id", "number",
-        time_and_id(F.col("block_ts"), F.col("id")).alias("order"),
+        first_second_at(F.col("block_ts")).alias("unix"),
+        F.struct("id", "number").alias("found"), F.struct("block_ts", "id").alias("order"),
     )
     asked = requests.select(F.col("unix").cast("bigint").alias("unix")).where("unix is not null")
-    last = [latest("cut_id", "id", "order"), latest("number", "number", "order")]
-    answers = fold_upto(asked, history, [], "unix", last).where(F.col("cut_id").isNotNull())
-    return requests.join(answers, "unix")
+    last = [latest("last", "found", "order")]
+    answers = fold_upto(asked, history, [], "unix", last, SECOND_BITS).where(F.col("last").isNotNull())
+    found = answers.select("unix", F.col("last.id").alias("cut_id"), F.col("last.number").alias("number"))
+    return requests.join(found, "unix")

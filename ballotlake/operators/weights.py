@@ -9,14 +9,10 @@ from ballotlake.functions.asof import EVERY, NOW, AsOf, only
 from ballotlake.functions.folds import PER_ROW, known_at, latest
 from ballotlake.functions.settle import settle
 from ballotlake.model import AMOUNT, RESULT, GovTables
-from ballotlake.operators.balances import ledger, own_balances
+from ballotlake.operators.balances import ledger, or_zero, own_balances, wallet_of
 from ballotlake.operators.proxies import links_for, parties
 
 
-def _or_zero(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(0).cast(AMOUNT))
-
-
 # --- set form -------------------------------------------------------------------------------
 
 
@@ -30,11 +26,11 @@ def _proxy_weights(links: DataFrame, accounts: DataFrame) -> DataFrame:
         F.struct(F.col(member).alias("address"), F.lit(wallet).alias("with_wallet"))
         for member, wallet in (("hot", True), ("cold", True), ("proxy", False))
     ]))
-    held = F.when(F.col("with_wallet"), _or_zero("wallet")).otherwise(F.lit(0).cast(AMOUNT))
+    held = or_zero(F.when(F.col("with_wallet"), wallet_of()))
     return (
         links.select("id", "hot", "cold", "proxy", members)
         .join(accounts, "address", "left")
-        .withColumn("part", (held + _or_zero("locked")).cast(AMOUNT))
+        .withColumn("part", (held + or_zero(F.col("locked"))).cast(AMOUNT))
         .groupBy("id", "hot", "cold", "proxy")
         .agg(F.sum("part").alias("total_weight"))
     )
@@ -116,10 +112,9 @@ def _weigh(t: GovTables, voters: DataFrame, members: Column, names: list[str], c
     if cut is PER_ROW:
         asked = settle(asked, "members")
     held = known_at(asked, _balance_history(t), "address", _HELD, cut)
-    zero = F.lit(0).cast(AMOUNT)
     part = (
-        F.when(F.col("with_wallet"), _or_zero("wallet")).otherwise(zero)
-        + F.when(F.col("with_locked"), _or_zero("locked")).otherwise(zero)
+        or_zero(F.when(F.col("with_wallet"), F.col("wallet")))
+        + or_zero(F.when(F.col("with_locked"), F.col("locked")))
     ).cast(AMOUNT)
     return (
         asked.join(held, place, "left").groupBy("voter").agg(F.sum(part).alias("amount"))
