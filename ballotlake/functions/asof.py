@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ballotlake.functions.times import utc
 
@@ -65,6 +66,11 @@ def as_limit(cut: int | Column | DataFrame | None) -> Column:
     return F.lit(cut).cast("bigint")
 
 
+def many(wanted) -> bool:
+    """Whether an argument asks for several values, so that results must name theirs."""
+    return wanted is EVERY or isinstance(wanted, (list, tuple, set, DataFrame))
+
+
 def only(df: DataFrame, column: str, wanted) -> DataFrame:
     """Rows whose ``column`` is the wanted value, among the wanted values, or all.
 
@@ -76,6 +82,7 @@ def only(df: DataFrame, column: str, wanted) -> DataFrame:
         keys = wanted.toDF(column).distinct()
         return df.join(keys, column, "left_semi")
     if isinstance(wanted, (list, tuple, set)):
-        keys = df.sparkSession.createDataFrame([(v,) for v in sorted(set(wanted))], f"{column} string")
+        kind = T.StructType([T.StructField(column, df.schema[column].dataType)])
+        keys = df.sparkSession.createDataFrame([(v,) for v in sorted(set(wanted))], kind)
         return df.join(keys, column, "left_semi")
     return df.where(F.col(column) == F.lit(wanted))

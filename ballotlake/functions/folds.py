@@ -161,7 +161,7 @@ def fold_upto(
             *_flat(folds, "first"), F.bool_or(_ASKED).alias(_ASKED)
         )
 
-    detail = zoned.join(asked.select(*place), place, "left_semi")
+    detail = zoned.join(asked.select(*place).distinct(), place, "left_semi")
     window = Window.partitionBy(*place).orderBy(pos)
     inside = (
         with_marks(detail, asked, [*place, pos])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlake.functions.asof import EVERY, NOW, AsOf, as_limit
+from ballotlake.functions.asof import EVERY, NOW, AsOf, as_limit, many
 from ballotlake.functions.folds import PER_ROW
 from ballotlake.functions.settle import settle
 from ballotlake.model import RESULT, GovTables
@@ -45,7 +45,7 @@ def weighted_votes(t: GovTables, poll_id, as_of: AsOf | None = None, cut=None, l
     votes = votes.where(F.col("block_id") <= limit).withColumnRenamed("voter", "address")
     voted = canonical_weight(t, votes, limit, legacy).withColumnRenamed("address", "voter")
     columns = _VOTE if legacy else _VOTE + _ORIGIN
-    return voted.select(*(["poll_id", *columns] if poll_id is EVERY else columns))
+    return voted.select(*(["poll_id", *columns] if many(poll_id) else columns))
 
 
 def votes_at_block(t: GovTables, poll_id, number: int | None) -> DataFrame:
@@ -77,7 +77,7 @@ def weighted_votes_all(t: GovTables, requests: DataFrame) -> DataFrame:
 def ranked_ballots(t: GovTables, poll_id, as_of: AsOf, legacy: bool = False) -> DataFrame:
     """Raw ballot and weight per voter, not summed."""
     return weighted_votes(t, poll_id, as_of, legacy=legacy).select(
-        *(["poll_id"] if poll_id is EVERY else []), "option_id_raw", F.col("amount").alias("support")
+        *(["poll_id"] if many(poll_id) else []), "option_id_raw", F.col("amount").alias("support")
     )
 
 
@@ -88,7 +88,7 @@ def _per_option(voted: DataFrame, keys: list[str]) -> DataFrame:
 def tally(t: GovTables, poll_id, as_of: AsOf) -> DataFrame:
     """Total weight per option, as of a time or block."""
     voted = weighted_votes(t, poll_id, as_of)
-    return _per_option(voted, ["poll_id"] if poll_id is EVERY else [])
+    return _per_option(voted, ["poll_id"] if many(poll_id) else [])
 
 
 def tally_all(t: GovTables, requests: DataFrame) -> DataFrame:
@@ -105,14 +105,13 @@ def tally_by_block(t: GovTables, poll_id=EVERY, as_of: AsOf = NOW) -> DataFrame:
     """
     votes = latest_votes(t, poll_id, as_of)
     weights = voting_weights(t, as_of).withColumnRenamed("address", "voter")
-    keys = ["poll_id", "option_id"] if poll_id is EVERY else ["option_id"]
+    keys = ["poll_id", "option_id"] if many(poll_id) else ["option_id"]
     sums = [F.sum("weight").cast(RESULT).alias("support")]
     if as_of.kind != "block":
         return votes.join(weights, "voter", "left").groupBy(*keys).agg(*sums)
-    number = AsOf("block", as_of.value)
-    asked = number.value if not isinstance(number.value, int) else F.lit(number.value)
+    asked = F.lit(as_of.value).cast("bigint")
     counted = votes.join(weights, "voter", "left").groupBy(*keys).agg(
-        *sums, F.max(asked).cast("bigint").alias("number")
+        *sums, F.max(asked).alias("number")
     )
     times = t.block.where(F.col("number") == asked).select("number", F.col("block_ts").alias("block_timestamp"))
     return counted.join(times, "number", "left").select(*keys, "support", "block_timestamp")

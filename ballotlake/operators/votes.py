@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotlake.functions.asof import EVERY, NOW, AsOf, only, unix
+from ballotlake.functions.asof import EVERY, NOW, AsOf, many, only, unix
 from ballotlake.functions.folds import PER_ROW
 from ballotlake.functions.settle import settle
 from ballotlake.functions.times import utc
@@ -23,7 +23,7 @@ _BALLOT = ["option_id", "option_id_raw"]
 
 
 def _with_poll(columns: list[str], poll_id) -> list[str]:
-    return ["poll_id", *columns] if poll_id is EVERY else columns
+    return ["poll_id", *columns] if many(poll_id) else columns
 
 
 def _windows(t: GovTables) -> DataFrame:
@@ -88,10 +88,10 @@ def unique_voters(t: GovTables, poll_id=EVERY) -> DataFrame:
     counts = F.coalesce(F.col("option_id_raw") != "0", F.lit(False)).cast("bigint")
     last = votes.groupBy("poll_id", "voter").agg(F.max(F.col("block_id") * 2 + counts).alias("last"))
     counted = F.count_if(F.col("last") % 2 == 1)
-    if poll_id is not EVERY:
+    if not many(poll_id):
         return last.agg(counted.alias("unique_voters"))
     per_poll = last.groupBy("poll_id").agg(counted.alias("n"))
-    return t.poll.select("poll_id").distinct().join(per_poll, "poll_id", "left").select(
+    return only(t.poll.select("poll_id").distinct(), "poll_id", poll_id).join(per_poll, "poll_id", "left").select(
         "poll_id", F.coalesce("n", F.lit(0)).alias("unique_voters")
     )
 
@@ -201,11 +201,7 @@ def current_vote(t: GovTables, address=EVERY, poll_id=EVERY, raw: bool = False)
     votes = _last(votes, ["poll_id", "voter"], order, [option])
     votes = _last(_linked(t, votes, address), ["poll_id", "address"], order, [option])
     columns = _with_poll([option, "block_id"], poll_id)
-    return votes.select(*(["address"] if _many(address) else []), *columns)
-
-
-def _many(addresses) -> bool:
-    return not (addresses is None or isinstance(addresses, str))
+    return votes.select(*(["address"] if many(address) else []), *columns)
 
 
 def latest_vote_per_poll(t: GovTables, addresses=EVERY) -> DataFrame:
@@ -259,7 +255,7 @@ def current_votes(t: GovTables, addresses=EVERY, now: int | None = None) -> Data
         F.col("tx_hash").alias("hash"),
     ]
     return votes.join(support, ["address", "closes"], "left").select(
-        *(["address"] if _many(addresses) else []), *columns
+        *(["address"] if many(addresses) else []), *columns
     )
 
 

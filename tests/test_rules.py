@@ -301,6 +301,19 @@ def test_shutdown_joins_keep_unknown_transactions(tables):
     assert rows(polls.shutdown_joins(t, 2)) == [("a", "t2", 3.0, 2000.0)]
 
 
+def test_several_polls_at_once(spark, tables):
+    second = {**POLL, "poll_id": 2}
+    t = tables(block=CHAIN, poll=[POLL, second, {**POLL, "poll_id": 3}],
+               vote=[vote("a", 5), {**vote("b", 6), "poll_id": 2}, {**vote("c", 6), "poll_id": 3}])
+    wanted = spark.createDataFrame([(1,), (2,)], "p int")
+    for polls_wanted in ([1, 2], wanted):
+        assert rows(votes.valid_votes(t, polls_wanted), "poll_id", "voter") == [(1, "a"), (2, "b")]
+        assert rows(votes.unique_voters(t, polls_wanted)) == [(1, 1), (2, 1)]
+        assert rows(tally.weighted_votes(t, polls_wanted, cut=9), "poll_id", "voter") == [(1, "a"), (2, "b")]
+        assert rows(tally.tally_by_block(t, polls_wanted), "poll_id", "option_id") == [(1, 1), (2, 1)]
+    assert rows(votes.valid_votes(t, []), "poll_id") == []
+
+
 def test_merged_votes_are_distinct(tables):
     t = tables(block=CHAIN, block2=[(3, 1, 5005)], proxy=[proxy("h", "c", "A", 2)],
                vote=[vote("h", 5), vote("h", 5, log_index=1)], vote2=[{**vote("c", 3), "chain_id": 2}])
