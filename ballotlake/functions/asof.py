@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,18 @@ def many(wanted) -> bool:
     return wanted is EVERY or isinstance(wanted, (list, tuple, set, DataFrame))
 
 
+_LITERALS = 1000
+
+
+def one_column(spark: SparkSession, values, column: str, kind: T.DataType) -> DataFrame:
+    """Python values as a DataFrame; a short list stays in the plan, a long one is shipped as data."""
+    values = sorted({value for value in values if value is not None})
+    if len(values) > _LITERALS:
+        return spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(column, kind)]))
+    listed = F.array(*[F.lit(value) for value in values]).cast(T.ArrayType(kind))
+    return spark.range(1).select(F.explode(listed).alias(column))
+
+
 def only(df: DataFrame, column: str, wanted) -> DataFrame:
     """Rows whose ``column`` is the wanted value, among the wanted values, or all.
 
@@ -82,7 +94,6 @@ def only(df: DataFrame, column: str, wanted) -> DataFrame:
         keys = wanted.toDF(column).distinct()
         return df.join(keys, column, "left_semi")
     if isinstance(wanted, (list, tuple, set)):
-        kind = T.StructType([T.StructField(column, df.schema[column].dataType)])
-        keys = df.sparkSession.createDataFrame([(v,) for v in sorted(set(wanted))], kind)
+        keys = one_column(df.sparkSession, wanted, column, df.schema[column].dataType)
         return df.join(keys, column, "left_semi")
     return df.where(F.col(column) == F.lit(wanted))

@@ -6,8 +6,9 @@ import time
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ballotlake.functions.asof import EVERY, NOW, AsOf, many, only, unix
+from ballotlake.functions.asof import EVERY, NOW, AsOf, many, one_column, only, unix
 from ballotlake.functions.folds import PER_ROW
 from ballotlake.functions.settle import settle
 from ballotlake.functions.times import utc
@@ -263,9 +264,8 @@ def current_votes_by_voter(t: GovTables, addresses=EVERY) -> DataFrame:
     """Last first-chain vote per poll and voter, for a list of wallets and those linked to them."""
     votes = window_votes(t)
     if addresses is not EVERY:
-        spark = votes.sparkSession
-        wanted = addresses if isinstance(addresses, DataFrame) else spark.createDataFrame(
-            [(a,) for a in addresses], "address string"
+        wanted = addresses if isinstance(addresses, DataFrame) else one_column(
+            votes.sparkSession, addresses, "address", T.StringType()
         )
         wanted = wanted.toDF("address")
         linked = wallet_pairs(t).join(wanted, "address", "left_semi").select("voter")
