@@ -81,7 +81,7 @@ def latest_votes(t: GovTables, poll_id=EVERY, as_of: AsOf = NOW, raw: bool = Fal
 def unique_voters(t: GovTables, poll_id=EVERY) -> DataFrame:
     """How many voters' last vote is not the ballot '0'; NULL ballots do not count.
 
-    A poll without votes counts 0.  Grouping by voter replaces the distinct
+    A poll without votes counts 0, a NULL poll gives no row.  Grouping by voter replaces the distinct
     count, and packing (block, counts) into one number keeps the aggregation
     hashed: the greatest one tells if any vote of the last block counts.
     """
@@ -90,7 +90,8 @@ def unique_voters(t: GovTables, poll_id=EVERY) -> DataFrame:
     last = votes.groupBy("poll_id", "voter").agg(F.max(F.col("block_id") * 2 + counts).alias("last"))
     counted = F.count_if(F.col("last") % 2 == 1)
     if not many(poll_id):
-        return last.agg(counted.alias("unique_voters"))
+        one = last.agg(counted.alias("unique_voters"))
+        return one.where(F.lit(poll_id is not None))
     per_poll = last.groupBy("poll_id").agg(counted.alias("n"))
     return only(t.poll.select("poll_id").distinct(), "poll_id", poll_id).join(per_poll, "poll_id", "left").select(
         "poll_id", F.coalesce("n", F.lit(0)).alias("unique_voters")

@@ -280,10 +280,11 @@ def _row_weight(voters: str, name: str, legacy: bool = False) -> dict[str, str]:
     }
 
 
-_MERGED = """
-  SELECT v.*, b.block_ts, t.hash FROM vote v, block b, tx t WHERE b.id = v.block_id AND t.id = v.tx_id
+_VOTE = "v.voter, v.poll_id, v.option_id, v.option_id_raw, v.block_id, v.log_index, v.chain_id"
+_MERGED = f"""
+  SELECT {_VOTE}, b.block_ts, t.hash FROM vote v, block b, tx t WHERE b.id = v.block_id AND t.id = v.tx_id
   UNION ALL
-  SELECT v.*, b.block_ts, t.hash FROM vote2 v, block2 b, tx2 t WHERE b.id = v.block_id AND t.id = v.tx_id"""
+  SELECT {_VOTE}, b.block_ts, t.hash FROM vote2 v, block2 b, tx2 t WHERE b.id = v.block_id AND t.id = v.tx_id"""
 
 
 def _canonical_votes(requests: str) -> dict[str, str]:
@@ -469,7 +470,7 @@ def oracle() -> dict[str, str]:
     out["active_polls_by_hash"] = _sql({}, f"{_ACTIVE} AND c.multi_hash LIKE '{HASH_LIKE}' ESCAPE '\\'")
     out["block_at"] = _sql({}, f"SELECT number FROM ({_last_block('number', DURING)}) x")
     out["blocks_at_poll_ends"] = _sql({}, """
-SELECT c.poll_id, CAST(c.end_date AS BIGINT) AS unix,
+SELECT DISTINCT c.poll_id, CAST(c.end_date AS BIGINT) AS unix,
        (SELECT arg_max(b.id, b.block_ts) FROM block b WHERE b.block_ts <= c.closes) AS cut_id,
        (SELECT arg_max(b.number, b.block_ts) FROM block b WHERE b.block_ts <= c.closes) AS number FROM poll c""")
 

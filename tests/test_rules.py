@@ -162,6 +162,7 @@ def test_zero_and_null_ballots_do_not_count(tables):
         vote("a", 5, 0), vote("b", 5, option_id_raw=None), vote("c", 5, 3), vote("d", 4, 3), vote("d", 6, 0)])
     assert rows(votes.unique_voters(t, 1)) == [(1,)]
     assert rows(votes.unique_voters(t, 7)) == [(0,)]
+    assert rows(votes.unique_voters(t, None)) == []
     assert rows(votes.unique_voters(t)) == [(1, 1), (2, 0)]
 
 
