@@ -4,7 +4,8 @@ Every row of ``events`` stands for one block with one transaction; its type
 says which fact it is.  ``nation`` gives the polls.  The derivation is a
 projection of one scan per table, apart from the two tables of stored
 balances, which are running sums: these are written once per session, as the
-ingest that owns such tables would, and then read.
+ingest that owns such tables would, and then read.  A folder whose files are
+replaced needs a new session.
 
 An event row already holds its block's time, so the facts are written down
 *located*: with ``block_number``, ``block_ts`` and ``tx_hash`` beside
