@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from ballotlake.llm.decontaminate import op4_decontamination
+from ballotlake.llm.lines import OP2_SQL, op2_line_dedup
 from ballotlake.llm.quality import op9_quality_classifier
 from ballotlake.llm.repetition import op8_quality_rules
 from ballotlake.llm.toxicity import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (
+    op2_line_dedup,
     op4_decontamination,
     op8_quality_rules,
     op9_quality_classifier,
     op10_toxicity,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
