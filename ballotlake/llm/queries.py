@@ -7,11 +7,13 @@ from ballotlake.llm.lines import OP2_SQL, op2_line_dedup
 from ballotlake.llm.quality import op9_quality_classifier
 from ballotlake.llm.repetition import op8_quality_rules
 from ballotlake.llm.simhash import op6_simhash_near_dedup
+from ballotlake.llm.substrings import op5_suffix_array_dedup
 from ballotlake.llm.toxicity import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op2_line_dedup,
     op4_decontamination,
+    op5_suffix_array_dedup,
     op6_simhash_near_dedup,
     op8_quality_rules,
     op9_quality_classifier,
