@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ballotlake.llm.decontaminate import op4_decontamination
 from ballotlake.llm.lines import OP2_SQL, op2_line_dedup
+from ballotlake.llm.pages import op3_html_extraction
 from ballotlake.llm.quality import op9_quality_classifier
 from ballotlake.llm.repetition import op8_quality_rules
 from ballotlake.llm.simhash import op6_simhash_near_dedup
@@ -12,6 +13,7 @@ from ballotlake.llm.toxicity import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op2_line_dedup,
+    op3_html_extraction,
     op4_decontamination,
     op5_suffix_array_dedup,
     op6_simhash_near_dedup,
