@@ -5,6 +5,7 @@ from __future__ import annotations
 from ballotlake.llm.decontaminate import op4_decontamination
 from ballotlake.llm.lines import OP2_SQL, op2_line_dedup
 from ballotlake.llm.pages import op3_html_extraction
+from ballotlake.llm.pieces_codec import op7_sentencepiece
 from ballotlake.llm.quality import op9_quality_classifier
 from ballotlake.llm.repetition import op8_quality_rules
 from ballotlake.llm.simhash import op6_simhash_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {f.__name__: f for f in (
     op4_decontamination,
     op5_suffix_array_dedup,
     op6_simhash_near_dedup,
+    op7_sentencepiece,
     op8_quality_rules,
     op9_quality_classifier,
     op10_toxicity,
