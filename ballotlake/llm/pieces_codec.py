@@ -180,12 +180,15 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     return F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), "^ ", "")
 
 
+def comes_back_as(text: Column) -> Column:
+    """What decoding gives for a text: a mark in the text itself comes back as the space it stands for."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     vocabulary = load()
     out = encode(docs, vocabulary)
-    # A mark in the text itself comes back as the space it stands for.
-    wanted = F.replace(F.coalesce("row.text", F.lit("")), F.lit(MARK), F.lit(" "))
     return out.select(
         "row.doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        (decode(F.col("ids"), vocabulary) == wanted).alias("round_trip"))
+        (decode(F.col("ids"), vocabulary) == comes_back_as(F.col("row.text"))).alias("round_trip"))

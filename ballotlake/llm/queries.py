@@ -6,6 +6,7 @@ from ballotlake.llm.decontaminate import op4_decontamination
 from ballotlake.llm.lines import OP2_SQL, op2_line_dedup
 from ballotlake.llm.pages import op3_html_extraction
 from ballotlake.llm.pieces_codec import op7_sentencepiece
+from ballotlake.llm.pseudo_likelihood import op1_lm_scoring
 from ballotlake.llm.quality import op9_quality_classifier
 from ballotlake.llm.repetition import op8_quality_rules
 from ballotlake.llm.simhash import op6_simhash_near_dedup
@@ -13,6 +14,7 @@ from ballotlake.llm.substrings import op5_suffix_array_dedup
 from ballotlake.llm.toxicity import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (
+    op1_lm_scoring,
     op2_line_dedup,
     op3_html_extraction,
     op4_decontamination,
