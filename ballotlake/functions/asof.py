@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,16 +72,12 @@ def many(wanted) -> bool:
     return wanted is EVERY or isinstance(wanted, (list, tuple, set, DataFrame))
 
 
-_LITERALS = 1000
-
-
 def one_column(spark: SparkSession, values, column: str, kind: T.DataType) -> DataFrame:
-    """Python values as a DataFrame; a short list stays in the plan, a long one is shipped as data."""
+    """Python values of one type as a DataFrame, cast like any column; the same for every number of them."""
     values = sorted({value for value in values if value is not None})
-    if len(values) > _LITERALS:
-        return spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(column, kind)]))
-    listed = F.array(*[F.lit(value) for value in values]).cast(T.ArrayType(kind))
-    return spark.range(1).select(F.explode(listed).alias(column))
+    if not values:
+        return spark.range(0).select(F.lit(None).cast(kind).alias(column))
+    return spark.createDataFrame(pa.table({column: pa.array(values)})).select(F.col(column).cast(kind))
 
 
 def only(df: DataFrame, column: str, wanted) -> DataFrame:

@@ -9,39 +9,42 @@ when it is small.
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset.
+    """The folder named by ``spark.checkpoint.dir``, which all executors must see.
 
-    Unset, a local session gets a temporary folder, removed at exit, and a
-    cluster a folder in its warehouse.
+    Where it is unset, a local session uses its warehouse folder; any other
+    session is told to name one, as its default warehouse is on one machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        if spark.sparkContext.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="ballotlake-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            _own_folder[app] = f"file://{folder}"
-        else:
-            _own_folder[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_ballotlake"
-    return _own_folder[app]
+    if spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder, removed when the driver ends in good order."""
+    folder = f"{shared_folder(spark)}/ballotlake/{spark.sparkContext.applicationId}"
+    if folder not in spark.__dict__.setdefault("_ballotlake_folders", set()):
+        spark._ballotlake_folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` now and gives the written table."""
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/ballotlake/{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -95,11 +95,15 @@ def integrity_report(t: GovTables, tables: list[str] | None = None) -> DataFrame
 
 
 def dedupe_events(events: DataFrame) -> DataFrame:
-    """Each event once, by its log index and transaction.
+    """Each event once, by its log index and transaction; of events that differ, the one with the lowest id.
 
     Copies are combined before the shuffle, so a much repeated event stays small.
     """
-    return events.dropDuplicates(list(_EVENT_KEY))
+    if "id" not in events.columns:
+        return events.dropDuplicates(list(_EVENT_KEY))
+    order = ["id", *[c for c in events.columns if c != "id"]]
+    best = events.groupBy(*_EVENT_KEY).agg(F.min(F.struct(*order)).alias("_first"))
+    return best.select(*[F.col(f"_first.{c}").alias(c) for c in events.columns])
 
 
 def retract_blocks(t: GovTables, blocks: DataFrame, chain: int = 1) -> GovTables:

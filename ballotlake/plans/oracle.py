@@ -7,7 +7,7 @@ over whole tables.  It shares no plan with the operators it checks.
 from __future__ import annotations
 
 from ballotlake.plans.probes import (
-    AFTER, CALLERS, DURING, HASH_LIKE, LOCKS_FROM, POLL, VOTER, VOTERS,
+    AFTER, CALLERS, DURING, HASH_LIKE, LAST_POLL, LAST_VOTER, LOCKS_FROM, POLL, VOTER, VOTERS,
 )
 
 _CENTS = "CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(28,18))"
@@ -17,6 +17,11 @@ def _user(expression: str) -> str:
     return f"concat('u',CAST({expression} AS VARCHAR(20)))"
 
 
+def _contract(parity: str) -> str:
+    """The voting contract of a user whose number divides by 5; two of them take turns."""
+    return f"concat('p',CAST(user_id-user_id%5 AS VARCHAR(20)),'_',CAST({parity}//4%2 AS VARCHAR(20)))"
+
+
 def _votes(event_type: str, shift: int, chain_id: int) -> str:
     return f"""
   SELECT event_id+1 AS id, {_user('user_id')} AS voter, CAST(event_id % 25 AS INT) AS poll_id,
@@ -37,7 +42,7 @@ def _locks(event_type: str, negative: int, caller: str, contract: str) -> str:
 def _joins(parity: int) -> str:
     return f"""
   SELECT event_id+1 AS id, {_user('user_id')} AS from_address, {_CENTS} AS join_amount,
-         event_id+1 AS block_id, event_id+1 AS tx_id
+         event_id+1 AS block_id, event_id+1 AS tx_id, 0 AS log_index
   FROM events WHERE event_type='purchase' AND event_id % 2 = {parity}"""
 
 
@@ -75,26 +80,28 @@ TABLES: dict[str, str] = {
     "proxy": f"""
   SELECT event_id+1 AS id, {_user('user_id')} AS cold,
          CASE WHEN user_id % 20 = 0 THEN {_user('user_id')} ELSE {_user('(user_id+10)%150')} END AS hot,
-         concat('p',CAST(event_id AS VARCHAR(20))) AS vote_proxy, event_id+1 AS block_id, event_id+1 AS tx_id
+         {_contract('event_id')} AS vote_proxy, event_id+1 AS block_id, event_id+1 AS tx_id, 0 AS log_index
   FROM events WHERE event_type='signup' AND user_id % 5 = 0 AND event_id % 3 = 0""",
     "delegate": f"""
   SELECT event_id+1 AS id, {_user('(user_id+1)%150')} AS delegate, {_user('user_id')} AS vote_delegate,
-         event_id+1 AS block_id FROM events WHERE event_type='signup' AND user_id < 10 AND event_id % 7 = 0""",
+         event_id+1 AS block_id, event_id+1 AS tx_id, 0 AS log_index
+  FROM events WHERE event_type='signup' AND user_id % 4 = 1""",
     "transfer": f"""
-  SELECT event_id+1 AS id, {_user('user_id')} AS sender, {_user('(user_id*7+3)%150')} AS receiver,
+  SELECT event_id+1 AS id, CASE WHEN event_id % 17 = 5 THEN {_contract('event_id')} ELSE {_user('user_id')} END AS sender,
+         CASE WHEN event_id % 11 = 2 THEN {_contract('event_id')} ELSE {_user('(user_id*7+3)%150')} END AS receiver,
          {_CENTS} AS amount, event_id+1 AS block_id, event_id+1 AS tx_id, 0 AS log_index
   FROM events WHERE event_type<>'error'""",
-    "locks": _locks("error", 3, _user("user_id % 30"), "'chief'"),
+    "locks": _locks("error", 3, f"CASE WHEN event_id % 4 = 1 THEN {_contract('event_id')} ELSE {_user('user_id % 30')} END", "'vault'"),
     "delegate_lock": _locks("purchase", 4, _user("user_id"), _user("user_id % 12")),
     "shutdown_v1": _joins(0),
     "shutdown_v2": _joins(1),
     "wallet_balance": """
-  SELECT k AS id, addr AS address, block_id,
+  SELECT k AS id, addr AS address, block_id, block_id AS tx_id,
          SUM(d) OVER (PARTITION BY addr ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS amount
   FROM (SELECT receiver AS addr, amount AS d, id*2+1 AS k, block_id FROM transfer
         UNION ALL SELECT sender, -amount, id*2, block_id FROM transfer) x""",
     "locked_balance": """
-  SELECT id, immediate_caller AS address, block_id,
+  SELECT id, immediate_caller AS address, block_id, tx_id,
          SUM(lock_amt) OVER (PARTITION BY immediate_caller ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS amount
   FROM locks""",
     "log": _logs(1),
@@ -142,20 +149,17 @@ def _valid(when: str, columns: str, poll: int | None = POLL) -> str:
     AND b.block_ts >= c.opens AND b.block_ts <= c.closes AND {_WHEN[when]}"""
 
 
-def _newest(when: str) -> str:
-    """Greatest block per wallet over all links in range."""
-    return f"""
-  SELECT wallet, max(block_id) AS newest FROM (
-    SELECT hot AS wallet, block_id FROM proxy UNION SELECT cold, block_id FROM proxy) w, block b
-  WHERE b.id = w.block_id AND {_WHEN[when]} GROUP BY wallet"""
+def _seen(when: str) -> str:
+    """The links made by then."""
+    return f"SELECT p.*, p.vote_proxy AS proxy FROM proxy p WHERE EXISTS (SELECT 1 FROM block b WHERE b.id = p.block_id AND {_WHEN[when]})"
 
 
 def _active(when: str) -> str:
+    """Links without a later one, of either of their wallets."""
     return f"""
-  SELECT p.id, p.hot, p.cold, p.vote_proxy AS proxy FROM proxy p, block b
-  WHERE b.id = p.block_id AND {_WHEN[when]}
-    AND p.block_id >= (SELECT newest FROM newest_{when} n WHERE n.wallet = p.hot)
-    AND p.block_id >= (SELECT newest FROM newest_{when} n WHERE n.wallet = p.cold)"""
+  SELECT s.id, s.hot, s.cold, s.proxy FROM seen_{when} s
+  WHERE NOT EXISTS (SELECT 1 FROM seen_{when} later WHERE later.block_id > s.block_id
+                    AND list_has_any([later.hot, later.cold], [s.hot, s.cold]))"""
 
 
 _FUNDED = """
@@ -167,7 +171,7 @@ def _links(when: str) -> dict[str, str]:
     """Steps that give ``links``: active links, or for now the funded ones."""
     if when == "now":
         return {**_locked("now"), "links": _FUNDED}
-    return {f"newest_{when}": _newest(when), "links": _active(when)}
+    return {f"seen_{when}": _seen(when), "links": _active(when)}
 
 
 def _with_proxy(when: str, option: str, poll: int | None = POLL) -> dict[str, str]:
@@ -187,13 +191,17 @@ def _with_proxy(when: str, option: str, poll: int | None = POLL) -> dict[str, st
 # --- balances and set-form weights ----------------------------------------------------------
 
 
-def _holders(when: str) -> dict[str, str]:
+def _moves(when: str) -> str:
+    """Every change of a wallet by then, signed, and whether it came in."""
     last = "TRUE" if when == "now" else f"t.block_id <= (SELECT max(b.id) FROM block b WHERE {_WHEN[when]})"
-    return {f"holders_{when}": f"""
-  SELECT r.address, r.received - coalesce(s.sent, 0) AS balance
-  FROM (SELECT receiver AS address, sum(amount) AS received FROM transfer t WHERE {last} GROUP BY receiver) r
-  LEFT JOIN (SELECT sender AS address, sum(amount) AS sent FROM transfer t WHERE {last} GROUP BY sender) s
-    ON s.address = r.address"""}
+    return f"""
+  SELECT unnest([t.receiver, t.sender]) AS who, unnest([t.amount, -t.amount]) AS change, unnest(['in', 'out']) AS way
+  FROM transfer t WHERE {last}"""
+
+
+def _holders(when: str) -> dict[str, str]:
+    return {f"moves_{when}": _moves(when), f"holders_{when}": f"""
+  SELECT who AS address, sum(change) AS balance FROM moves_{when} GROUP BY who HAVING bool_or(way = 'in')"""}
 
 
 def _locked(when: str) -> dict[str, str]:
@@ -203,9 +211,13 @@ def _locked(when: str) -> dict[str, str]:
 
 
 def _combined(when: str) -> dict[str, str]:
+    """Wallet and locked changes in one sum; who never received anything is not named, and what they sent not counted."""
     return {**_holders(when), **_locked(when), "combined": f"""
-  SELECT h.address, coalesce(h.balance, 0) + coalesce(k.balance, 0) AS balance
-  FROM holders_{when} h FULL JOIN locked_{when} k ON h.address = k.address"""}
+  SELECT CASE WHEN bool_or(way = 'in') THEN who END AS address,
+         sum(CASE WHEN way = 'lock' THEN change ELSE 0 END)
+           + CASE WHEN bool_or(way = 'in') THEN sum(CASE WHEN way = 'lock' THEN 0 ELSE change END) ELSE 0 END AS balance
+  FROM (SELECT who, change, way FROM moves_{when} UNION ALL SELECT address, balance, 'lock' FROM locked_{when}) m
+  GROUP BY who HAVING bool_or(way <> 'out')"""}
 
 
 def _proxy_weights(when: str) -> dict[str, str]:
@@ -215,14 +227,14 @@ def _proxy_weights(when: str) -> dict[str, str]:
     terms = [("holders", "hot"), ("holders", "cold"), ("locked", "cold"), ("locked", "hot"), ("locked", "proxy")]
     return {**_links(when), **_combined(when), "weighed": f"""
   SELECT l.hot, l.cold, l.proxy, {' + '.join(held(*term) for term in terms)} AS total_weight FROM links l""",
-            "by_party": """
-  SELECT hot AS address, total_weight FROM weighed UNION SELECT cold, total_weight FROM weighed"""}
+            "by_party": "SELECT DISTINCT unnest([hot, cold]) AS address, total_weight FROM weighed"}
 
 
 def _weights(when: str) -> dict[str, str]:
     return {**_proxy_weights(when), "weights": """
-  SELECT coalesce(c.address, p.address) AS address, coalesce(p.total_weight, c.balance) AS weight
-  FROM by_party p FULL JOIN combined c ON p.address = c.address"""}
+  SELECT address, total_weight AS weight FROM by_party
+  UNION ALL
+  SELECT address, balance FROM combined c WHERE NOT EXISTS (SELECT 1 FROM by_party p WHERE p.address = c.address)"""}
 
 
 # --- row form: canonical voters and their weight --------------------------------------------
@@ -359,7 +371,7 @@ def _legacy(cut: str) -> dict[str, str]:
 
 def _pairs() -> dict[str, str]:
     return {
-        "newest_now": _newest("now"),
+        "seen_now": _seen("now"),
         "all_links": _active("now"),
         "pairs": """
   SELECT cold AS address, hot AS voter FROM all_links WHERE hot <> cold
@@ -445,10 +457,14 @@ SELECT {_POLL_COLUMNS} FROM poll c LEFT JOIN poll_withdrawal w ON w.poll_id = c.
 WHERE w.id IS NULL"""
 
 
+def _found(column: str, table: str, key: str) -> str:
+    return f"(SELECT any_value(x.{column}) FROM {table} x WHERE x.id = {key})"
+
+
 def _shutdown(table: str) -> str:
     return _sql({}, f"""
-SELECT j.from_address AS tx_from, t.hash AS tx_hash, {_dec('j.join_amount', 'join_amount')}, b.block_ts AS block_timestamp
-FROM {table} j LEFT JOIN tx t ON t.id = j.tx_id LEFT JOIN block b ON b.id = j.block_id""")
+SELECT from_address AS tx_from, {_found('hash', 'tx', 'j.tx_id')} AS tx_hash, {_dec('join_amount', 'join_amount')},
+       {_found('block_ts', 'block', 'j.block_id')} AS block_timestamp FROM {table} j""")
 
 
 def _unique_voters(poll: int | None) -> dict[str, str]:
@@ -518,8 +534,8 @@ FROM merged m, canonical k WHERE k.address = m.voter""")
     who_all = "SELECT address, address AS voter FROM wallets UNION SELECT address, voter FROM pairs"
     for name, option in (("current_vote", "option_id"), ("current_vote_raw", "option_id_raw")):
         out[name] = _sql({
-            **_pairs(), "who": who_one,
-            "valid": _valid("now", f"v.poll_id, v.voter, v.{option}, v.block_id, v.log_index"),
+            **_pairs(), "who": who_one.replace(f"'{VOTER}'", f"'{LAST_VOTER}'"),
+            "valid": _valid("now", f"v.poll_id, v.voter, v.{option}, v.block_id, v.log_index", LAST_POLL),
         }, f"""
 SELECT {option}, block_id FROM valid WHERE voter IN (SELECT voter FROM who)
 ORDER BY block_id DESC, log_index DESC LIMIT 1""")
@@ -548,7 +564,7 @@ SELECT {columns} FROM ranked WHERE rn = 1
     # Proxies.
     for when in ("block", "time", "now"):
         out[f"active_proxies_{when}"] = _sql(
-            {f"newest_{when}": _newest(when), "links": _active(when)}, "SELECT hot, cold, proxy FROM links")
+            {f"seen_{when}": _seen(when), "links": _active(when)}, "SELECT hot, cold, proxy FROM links")
     out["funded_proxies"] = _sql(
         _links("now"), f"SELECT hot, cold, proxy, {_dec('proxy_weight', 'proxy_weight')} FROM links")
     wallets = "SELECT hot AS address FROM proxy UNION SELECT cold FROM proxy UNION SELECT voter FROM vote"
@@ -626,8 +642,8 @@ FROM newest_votes v LEFT JOIN weights w ON w.address = v.voter GROUP BY {group}"
 
     # Delegation and locks.
     out["delegates"] = _sql({}, "SELECT delegate, vote_delegate FROM delegate")
-    out["delegates_with_time"] = _sql({}, """
-SELECT d.delegate, d.vote_delegate, b.block_ts AS block_timestamp FROM delegate d LEFT JOIN block b ON b.id = d.block_id""")
+    out["delegates_with_time"] = _sql(
+        {}, f"SELECT delegate, vote_delegate, {_found('block_ts', 'block', 'd.block_id')} AS block_timestamp FROM delegate d")
     contracts = "(SELECT vote_delegate FROM delegate)"
     for name, table, contract, sender in (
         ("delegated_by", "locks", "l.immediate_caller", "l.from_address"),
@@ -657,9 +673,7 @@ SELECT from_address, immediate_caller, {shown}{_dec('lock_amt', 'lock_amount')},
 SELECT v.id, v.voter, v.block_id, {_dec(f"(SELECT arg_max(h.amount, h.id) FROM wallet_balance h WHERE h.address = v.voter AND h.block_id <= v.block_id)", 'amount')}
 FROM vote v""")
     out["dedupe_events"] = _sql({}, f"SELECT id, sender, receiver, {_dec('amount', 'amount')}, block_id, tx_id, log_index FROM transfer")
-    out["retract_blocks"] = _sql({}, f"""
-SELECT id, sender, receiver, {_dec('amount', 'amount')}, block_id FROM transfer
-WHERE block_id IN (SELECT id FROM block WHERE block_ts <= {_at(DURING)})""")
+    out["retract_blocks"] = _sql({}, _kept_rows())
     out["merge_chains"] = _sql({}, """
 SELECT id, voter, poll_id, option_id, option_id_raw, block_id, chain_id FROM vote
 UNION ALL SELECT id, voter, poll_id, option_id, option_id_raw, block_id, chain_id FROM vote2""")
@@ -671,20 +685,8 @@ WHERE address = '0xcview'""")
     out["locate_facts"] = _sql({}, """
 SELECT v.id, v.voter, v.poll_id, v.option_id, b.number AS block_number, b.block_ts, t.hash AS tx_hash
 FROM vote v LEFT JOIN block b ON b.id = v.block_id LEFT JOIN tx t ON t.id = v.tx_id""")
-    faults = []
-    for table, (keys, columns) in INTEGRITY.items():
-        for column in columns:
-            faults.append(f"SELECT '{table}' AS table_name, 'null' AS fault, '{column}' AS columns, "
-                          f"count(*) FILTER (WHERE {column} IS NULL) AS bad_rows FROM {_name(table)}")
-        for key in keys:
-            names = ", ".join(key)
-            faults.append(f"SELECT '{table}', 'duplicate', '{', '.join(key)}', coalesce(sum(n - 1), 0) FROM "
-                          f"(SELECT count(*) AS n FROM {_name(table)} GROUP BY {names}) g")
-    for table, column, parent in REFERENCES:
-        faults.append(f"SELECT '{table}', 'orphan', '{column}', count(*) FROM {_name(table)} x "
-                      f"WHERE NOT EXISTS (SELECT 1 FROM {parent} y WHERE y.id = x.{column})")
-    out["integrity_report"] = _sql({}, "SELECT table_name, fault, columns, CAST(bad_rows AS BIGINT) AS bad_rows FROM (\n"
-                                   + "\nUNION ALL ".join(faults) + ") f")
+    out["integrity_report"] = _sql(
+        {}, f"SELECT table_name, fault, columns, CAST(bad_rows AS BIGINT) AS bad_rows FROM (\n{_faults()}) f")
     return out
 
 
@@ -692,20 +694,53 @@ def _name(table: str) -> str:
     return "locks" if table == "lock" else table
 
 
-# The tables the integrity report is run over here: unique keys, and columns that must be filled.
-INTEGRITY = {
-    "block": ([("id",), ("hash",)], ["id", "number", "hash", "block_ts"]),
-    "tx": ([("id",), ("hash",)], ["id", "hash", "block_id"]),
-    "vote": ([("id",), ("log_index", "tx_id")], ["id", "voter", "poll_id", "log_index", "tx_id", "block_id"]),
-    "vote2": ([("id",), ("log_index", "tx_id")],
-              ["id", "voter", "poll_id", "log_index", "tx_id", "block_id", "chain_id"]),
-    "transfer": ([("id",), ("log_index", "tx_id")],
-                 ["id", "sender", "receiver", "amount", "log_index", "tx_id", "block_id"]),
-    "lock": ([("id",), ("log_index", "tx_id")],
-             ["id", "from_address", "immediate_caller", "lock_amt", "contract_address", "log_index", "tx_id", "block_id"]),
+# What is checked in each table: names beside ``id`` that must be filled, those of a further key, and the tables it hangs on.
+_PLACE = ["log_index", "tx_id", "block_id"]
+_CHECKED = {
+    "block": (["number", "hash", "block_ts"], "hash", None),
+    "block2": (["number", "hash", "block_ts"], "hash", None),
+    "tx": (["hash", "block_id"], "hash", ("block", None)),
+    "tx2": (["hash", "block_id"], "hash", ("block2", None)),
+    "poll": (["creator", "poll_id", "block_created", "start_date", "end_date", "multi_hash", "url"], None, None),
+    "poll_withdrawal": (["creator", "poll_id", "block_withdrawn"], None, None),
+    "vote": (["voter", "poll_id", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "vote2": (["voter", "poll_id", "chain_id", *_PLACE], "log_index, tx_id", ("block2", "tx2")),
+    "proxy": (["cold", "hot", "vote_proxy", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "delegate": (["delegate", "vote_delegate", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "transfer": (["sender", "receiver", "amount", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "lock": (["from_address", "immediate_caller", "lock_amt", "contract_address", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "delegate_lock": (["from_address", "immediate_caller", "lock_amt", "contract_address", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "shutdown_v1": (["from_address", "join_amount", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "shutdown_v2": (["from_address", "join_amount", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "wallet_balance": (["address", "amount", "tx_id", "block_id"], None, ("block", "tx")),
+    "locked_balance": (["address", "amount", "tx_id", "block_id"], None, ("block", "tx")),
+    "log": (["address", "data", "topics", *_PLACE], "log_index, tx_id", ("block", "tx")),
+    "log2": (["address", "data", "topics", *_PLACE], "log_index, tx_id", ("block2", "tx2")),
 }
-REFERENCES = [
-    ("tx", "block_id", "block"), ("vote", "block_id", "block"), ("vote", "tx_id", "tx"),
-    ("vote2", "block_id", "block2"), ("vote2", "tx_id", "tx2"), ("transfer", "block_id", "block"),
-    ("transfer", "tx_id", "tx"), ("lock", "block_id", "block"), ("lock", "tx_id", "tx"),
-]
+
+
+def _faults() -> str:
+    out = []
+    for table, (filled, further, parents) in _CHECKED.items():
+        for column in ["id", *filled]:
+            out.append(f"SELECT '{table}' AS table_name, 'null' AS fault, '{column}' AS columns, "
+                       f"count(*) FILTER (WHERE {column} IS NULL) AS bad_rows FROM {_name(table)}")
+        for key in ["id", *([further] if further else [])]:
+            out.append(f"SELECT '{table}', 'duplicate', '{key}', coalesce(sum(n - 1), 0) FROM "
+                       f"(SELECT count(*) AS n FROM {_name(table)} GROUP BY {key}) g")
+        for column, parent in zip(("block_id", "tx_id"), parents or ()):
+            if parent:
+                out.append(f"SELECT '{table}', 'orphan', '{column}', count(*) FROM {_name(table)} x "
+                           f"WHERE NOT EXISTS (SELECT 1 FROM {parent} y WHERE y.id = x.{column})")
+    return "\nUNION ALL ".join(out)
+
+
+def _kept_rows() -> str:
+    """How many rows of each table are left when the later blocks of the first chain are taken back."""
+    out = []
+    for table, (filled, _, parents) in _CHECKED.items():
+        on_first = table == "block" or "block_id" in filled and parents and parents[0] == "block"
+        column = "id" if table == "block" else "block_id"
+        kept = f" WHERE {column} IN (SELECT id FROM block WHERE block_ts <= {_at(DURING)})" if on_first else ""
+        out.append(f"SELECT '{table}' AS table_name, count(*) AS n_rows FROM {_name(table)}{kept}")
+    return "\nUNION ALL ".join(out)

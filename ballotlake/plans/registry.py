@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ballotlake.functions.folds import PER_ROW, known_at, latest
 from ballotlake.model import RESULT, GovTables
 from ballotlake.operators import balances, blocks, locks, polls, proxies, quality, tally, votes, weights
 from ballotlake.plans.probes import (
-    AFTER, CALLERS, DURING, HASH_LIKE, LOCKS_FROM, POLL, VOTER, VOTERS,
+    AFTER, CALLERS, DURING, HASH_LIKE, LAST_POLL, LAST_VOTER, LOCKS_FROM, POLL, VOTER, VOTERS,
 )
 from ballotlake.sources.events import event_tables
 from ballotlake.sources.located import locate
@@ -77,7 +78,11 @@ def _replayed_transfers(t: GovTables) -> DataFrame:
 def _retracted(t: GovTables) -> DataFrame:
     gone = t.block.where(~unix(DURING).keeps("number", "block_ts")).select("id")
     kept = quality.retract_blocks(t, gone)
-    return _amount(kept.transfer.select("id", "sender", "receiver", "amount", "block_id"))
+    counts = [
+        getattr(kept, name).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        for name in kept.names()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _routed(t: GovTables) -> DataFrame:
@@ -136,8 +141,8 @@ def _over_tables() -> dict[str, Callable[[GovTables], DataFrame]]:
     q["canonical_votes_all"] = lambda t: votes.canonical_votes(t, EVERY, _cut(t))
 
     # Current votes.
-    q["current_vote"] = lambda t: votes.current_vote(t, VOTER, POLL)
-    q["current_vote_raw"] = lambda t: votes.current_vote(t, VOTER, POLL, raw=True)
+    q["current_vote"] = lambda t: votes.current_vote(t, LAST_VOTER, LAST_POLL)
+    q["current_vote_raw"] = lambda t: votes.current_vote(t, LAST_VOTER, LAST_POLL, raw=True)
     q["current_vote_all"] = votes.current_vote
     q["current_votes"] = lambda t: votes.current_votes(t, VOTER, DURING)
     q["current_votes_all"] = lambda t: votes.current_votes(t, EVERY, DURING)
@@ -209,8 +214,7 @@ def _over_tables() -> dict[str, Callable[[GovTables], DataFrame]]:
     q["retract_blocks"] = _retracted
     q["merge_chains"] = _merged_chains
     q["route_logs"] = _routed
-    q["integrity_report"] = lambda t: quality.integrity_report(
-        t, ["block", "tx", "vote", "vote2", "transfer", "lock"])
+    q["integrity_report"] = quality.integrity_report
     return q
 
 

@@ -4,8 +4,8 @@ Every row of ``events`` stands for one block with one transaction; its type
 says which fact it is.  ``nation`` gives the polls.  The derivation is a
 projection of one scan per table, apart from the two tables of stored
 balances, which are running sums: these are written once per session, as the
-ingest that owns such tables would, and then read.  A folder whose files are
-replaced needs a new session.
+ingest that owns such tables would, and then read; new or replaced files are
+noticed and give new ones.
 
 An event row already holds its block's time, so the facts are written down
 *located*: with ``block_number``, ``block_ts`` and ``tx_hash`` beside
@@ -32,10 +32,6 @@ FIRST_POLL_START, DAY = 1704067200, 86400
 FIRST_CHAIN_ID, SECOND_CHAIN_ID = 1, 42161
 
 
-# The stored balances written so far, per application, folder and table.
-_stored: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def _text(prefix: str, value: Column) -> Column:
     return F.concat(F.lit(prefix), value.cast("string"))
 
@@ -49,6 +45,8 @@ def event_tables(spark: SparkSession, sf_dir: str, located: bool = True) -> GovT
     n, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     cents = F.col("value").cast("decimal(18,2)").cast(STORED)
     option = F.floor("value").cast("int") % 4
+    # The voting contract of a user whose number divides by 5; two of them take turns.
+    contract = F.concat(_text("p", user - user % 5), _text("_", F.floor(n / 4).cast("bigint") % 2))
 
     @cache
     def events() -> DataFrame:
@@ -121,19 +119,20 @@ def event_tables(spark: SparkSession, sf_dir: str, located: bool = True) -> GovT
         hot = F.when(user % 20 == 0, _user(user)).otherwise(_user((user + 10) % ADDRESSES))
         return facts(
             (kind == "signup") & (user % 5 == 0) & (n % 3 == 0), _user(user).alias("cold"),
-            hot.alias("hot"), _text("p", n).alias("vote_proxy"),
+            hot.alias("hot"), contract.alias("vote_proxy"),
         )
 
     def delegates() -> DataFrame:
         return facts(
-            (kind == "signup") & (user < 10) & (n % 7 == 0),
+            (kind == "signup") & (user % 4 == 1),
             _user((user + 1) % ADDRESSES).alias("delegate"), _user(user).alias("vote_delegate"),
         )
 
     def transfers() -> DataFrame:
         return facts(
-            kind != "error", _user(user).alias("sender"),
-            _user((user * 7 + 3) % ADDRESSES).alias("receiver"), cents.alias("amount"),
+            kind != "error", F.when(n % 17 == 5, contract).otherwise(_user(user)).alias("sender"),
+            F.when(n % 11 == 2, contract).otherwise(_user((user * 7 + 3) % ADDRESSES)).alias("receiver"),
+            cents.alias("amount"),
         )
 
     def locks(event_type: str, negative: int, caller: Column, contract: Column) -> DataFrame:
@@ -156,13 +155,16 @@ def event_tables(spark: SparkSession, sf_dir: str, located: bool = True) -> GovT
         )
 
     def lock() -> DataFrame:
-        return locks("error", 3, _user(user % 30), F.lit("chief"))
+        return locks("error", 3, F.when(n % 4 == 1, contract).otherwise(_user(user % 30)), F.lit("vault"))
 
     def stored(name: str, changes) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, name)
-        if key not in _stored:
-            _stored[key] = settle(running_balances(changes()), name)
-        return _stored[key]
+        """Written once per session and state of the files, and kept on the session."""
+        written = spark.__dict__.setdefault("_ballotlake_stored", {})
+        files = spark.read.parquet(f"{sf_dir}/events.parquet").select("_metadata.file_path", "_metadata.file_modification_time")
+        state = tuple(sorted((row[0], str(row[1])) for row in files.distinct().collect()))
+        if (name, state) not in written:
+            written[name, state] = settle(running_balances(changes()), name)
+        return written[name, state]
 
     return GovTables(
         block=lambda: blocks(0, FIRST_NUMBER, "0xb"),

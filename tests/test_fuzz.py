@@ -25,18 +25,7 @@ START, DAY = 1704067200, 86400
 SEEDS = [int(seed) for seed in os.environ.get("FUZZ_SEEDS", "1").split(",")]
 # Queries of the test-table adapter itself, or of columns only it has.
 SKIP = {"route_logs", "integrity_report", "running_balances_wallet", "running_balances_locked", "dedupe_events"}
-QUICK = {
-    "blocks_at_poll_ends", "latest_votes_all", "votes_with_proxy_now", "unique_voters_all", "merged_votes",
-    "canonical_votes_first_chain_cut", "canonical_votes_all", "current_vote_all", "current_votes_all",
-    "current_votes_by_voter", "active_proxies_time", "funded_proxies", "canonical_voter_cut",
-    "canonical_voter_at_poll_ends", "token_holders_block", "combined_balances_time", "voting_weights_time",
-    "voting_weights_now", "canonical_weight", "canonical_weight_legacy", "party_weight", "weighted_votes_cut",
-    "legacy_votes_cut", "tally_all", "tally_block_all", "tally_now", "delegated_by_all", "lock_history_totals",
-    "lock_history_totals_v2_all", "all_locks_running", "balances_at_votes", "retract_blocks",
-}
 NAMES = sorted(set(_over_tables()) - SKIP)
-if not os.environ.get("FUZZ_SEEDS"):
-    NAMES = [name for name in NAMES if name in QUICK]
 
 
 def make(seed: int) -> dict[str, list[dict]]:

@@ -63,7 +63,7 @@ def test_latest_balance_is_the_highest_id_not_the_latest_block(spark, tables):
 
 def lock(caller, amount, block_id, **more):
     return {"from_address": "f", "immediate_caller": caller, "lock_amt": amount,
-            "contract_address": "chief", "block_id": block_id, **more}
+            "contract_address": "vault", "block_id": block_id, **more}
 
 
 def test_running_total_is_shared_in_a_block_and_equal_locks_count_once(tables):
