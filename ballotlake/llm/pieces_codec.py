@@ -150,12 +150,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYT
     """Every row of ``docs`` (with ``text``) as ``row``, with its ``ids``."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    rows = docs.select(docs["text"].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     rows = rows.repartition(blocks, "block")
-    words = rows.select("block", F.explode(units(F.col("text"))).alias("word")).distinct()
+    # The condition always holds; as it needs the whole row, both branches read the same shuffle instead of one each.
+    whole = F.when(F.hash("row") >= F.lit(-(2**31)), F.col("row.text"))
+    words = rows.select("block", F.explode(units(whole)).alias("word")).distinct()
     paths = lattice(words, vocabulary)
-    texts = rows.select(F.col("block").alias("of"), "row", units(F.col("text")).alias("units"))
+    texts = rows.select(F.col("block").alias("of"), "row", units(F.col("row.text")).alias("units"))
     ids = [i for _, i, _ in vocabulary.rows]
     byte_ids = vocabulary.byte_ids
 
