@@ -181,14 +181,15 @@ PER_ROW = object()
 
 
 def known_at(
-    asked: DataFrame, history: DataFrame, key: str, folds: Sequence[Fold], cut
+    asked: DataFrame, history: DataFrame, key: str, folds: Sequence[Fold], cut, all_asked: bool = False
 ) -> DataFrame:
     """The folds of each key over history with ``block_id`` up to the cut, where there is any.
 
     ``history`` carries ``key`` and ``block_id``.  A cut shared by all keys (a
     number, Column or one-row DataFrame) or none (``None``) gives one row per
-    key of the history: a filter and one aggregation.  ``PER_ROW`` gives one
-    row per asked key and ``cut_id``.
+    asked key: the history is thinned to the asked keys, cut, and aggregated
+    once; ``all_asked`` leaves the thinning out where nearly all keys are
+    asked for.  ``PER_ROW`` gives one row per asked key and ``cut_id``.
     """
     names = [fold.name for fold in folds]
     if cut is PER_ROW:
@@ -196,6 +197,8 @@ def known_at(
         values = fold_upto(asked, past, [key], "cut_id", folds)
         return values.where(reduce(or_, [F.col(name).isNotNull() for name in names]))
     past = history if cut is None else history.where(F.col("block_id") <= as_limit(cut))
+    if not all_asked:
+        past = past.join(asked.select(key).distinct(), key, "left_semi")
     return past.groupBy(key).agg(*_flat(folds, "first")).select(key, *names)
 
 

@@ -57,7 +57,7 @@ def locked_balances(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
     )
 
 
-def ledger(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
+def ledger(t: GovTables, as_of: AsOf = NOW, among: DataFrame | None = None) -> DataFrame:
     """Per address: what moved and what is locked, and whether it is a holder.
 
     One aggregation over the union of transfer sides and locks, so an address
@@ -65,7 +65,8 @@ def ledger(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
     Addresses are never NULL; saying so gives every use of the ledger the same
     plan, so that Spark computes it once.
     ``moved`` counts as a wallet balance only for holders, see ``wallet_of``;
-    ``locked`` is NULL unless the address locked.
+    ``locked`` is NULL unless the address locked.  ``among`` (one column,
+    ``address``) thins the moves to some addresses before they are added up.
     """
     wallet = _wallet_moves(t, as_of).withColumn("locked", F.lit(None).cast("decimal(28,18)"))
     locked = _lock_moves(t, as_of).select(
@@ -73,6 +74,8 @@ def ledger(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
         F.lit(False).alias("received"), F.col("change").alias("locked"),
     )
     known = wallet.unionByName(locked).where(F.col("address").isNotNull())
+    if among is not None:
+        known = known.join(among, "address", "left_semi")
     return known.groupBy("address").agg(
         F.sum("change").cast(AMOUNT).alias("moved"),
         F.sum("locked").cast(AMOUNT).alias("locked"),

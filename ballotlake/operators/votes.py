@@ -167,7 +167,8 @@ def canonical_votes(t: GovTables, poll_id=EVERY, cut=None, chains: tuple = (1, 2
     per_row = cut is PER_ROW
     keys = ["poll_id", "unix", "cut_id"] if per_row else ["poll_id"]
     if per_row:
-        votes = votes.join(poll_id.select(*keys).distinct(), "poll_id")
+        requests = poll_id.select(*keys).distinct()
+        votes = votes.join(requests.select("poll_id").distinct(), "poll_id", "left_semi")
     else:
         votes = only(votes, "poll_id", poll_id)
     hashes = ["tx_hash"] if both and "tx_hash" in votes.columns else []
@@ -176,9 +177,10 @@ def canonical_votes(t: GovTables, poll_id=EVERY, cut=None, chains: tuple = (1, 2
     votes = votes.join(_windows(t), "poll_id").where(
         (F.col("block_ts") >= F.col("opens")) & (F.col("block_ts") <= F.col("closes"))
     )
-    votes = _last(votes, [*keys, "voter"], order, payload).withColumnRenamed("voter", "address")
+    # A wallet's last vote in its poll is the same for every request, so it is found before the requests are joined.
+    votes = _last(votes, ["poll_id", "voter"], order, payload).withColumnRenamed("voter", "address")
     if per_row:
-        votes = settle(votes, "votes")
+        votes = settle(votes.join(requests, "poll_id"), "votes")
     votes = canonical_voter(t, votes, cut).drop("address").withColumnRenamed("canonical", "voter")
     votes = _last(votes, [*keys, "voter"], order, payload)
     columns = ["voter", *_BALLOT, "block_id"]
@@ -188,20 +190,41 @@ def canonical_votes(t: GovTables, poll_id=EVERY, cut=None, chains: tuple = (1, 2
     return votes.select(*(keys + columns if per_row else _with_poll(columns, poll_id)))
 
 
-def _linked(t: GovTables, votes: DataFrame, addresses) -> DataFrame:
+def _asked(t: GovTables, addresses) -> DataFrame | None:
+    """One or several addresses as a column; ``None`` for all."""
+    if addresses is EVERY:
+        return None
+    if isinstance(addresses, DataFrame):
+        return addresses.toDF("address").distinct()
+    listed = addresses if isinstance(addresses, (list, tuple, set)) else [addresses]
+    return one_column(t.vote.sparkSession, listed, "address", T.StringType())
+
+
+def _heard(t: GovTables, votes: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """The votes of the asked addresses and of the wallets linked to them: all others go before anything is added up."""
+    if asked is None:
+        return votes
+    linked = wallet_pairs(t).join(asked, "address", "left_semi").select("voter")
+    voters = asked.select(F.col("address").alias("voter")).union(linked).distinct()
+    return votes.join(voters, "voter", "left_semi")
+
+
+def _linked(t: GovTables, votes: DataFrame, asked: DataFrame | None) -> DataFrame:
     """Votes listed under the voter (``address``) and under the wallet linked to it."""
     own = votes.withColumn("address", F.col("voter"))
     linked = votes.join(wallet_pairs(t), "voter")
-    return only(own.unionByName(linked), "address", addresses)
+    both = own.unionByName(linked)
+    return both if asked is None else both.join(asked, "address", "left_semi")
 
 
 def current_vote(t: GovTables, address=EVERY, poll_id=EVERY, raw: bool = False) -> DataFrame:
     """The last vote of an address or of the wallet linked to it, on the first chain."""
     option = "option_id_raw" if raw else "option_id"
-    votes = window_votes(t, poll_id, unix(LAST_SECOND) if raw else NOW)
+    asked = _asked(t, address)
+    votes = _heard(t, window_votes(t, poll_id, unix(LAST_SECOND) if raw else NOW), asked)
     order = ["block_id", "log_index"]
     votes = _last(votes, ["poll_id", "voter"], order, [option])
-    votes = _last(_linked(t, votes, address), ["poll_id", "address"], order, [option])
+    votes = _last(_linked(t, votes, asked), ["poll_id", "address"], order, [option])
     columns = _with_poll([option, "block_id"], poll_id)
     return votes.select(*(["address"] if many(address) else []), *columns)
 
@@ -214,12 +237,12 @@ def latest_vote_per_poll(t: GovTables, addresses=EVERY) -> DataFrame:
     """
     order = ["block_id", "log_index"]
     payload = [*_BALLOT, "block_ts", "chain_id", "closes", "tx_id"]
-    per_chain = []
+    per_chain, asked = [], _asked(t, addresses)
     for chain in (1, 2):
-        votes = window_votes(t, EVERY, NOW, chain)
+        votes = _heard(t, window_votes(t, EVERY, NOW, chain), asked)
         kept = payload + (["tx_hash"] if "tx_hash" in votes.columns else [])
         votes = _last(votes, ["poll_id", "voter"], order, kept)
-        votes = _last(_linked(t, votes, addresses), ["poll_id", "address"], order, kept)
+        votes = _last(_linked(t, votes, asked), ["poll_id", "address"], order, kept)
         per_chain.append(votes.withColumn("side", F.lit(chain)))
     both = per_chain[0].unionByName(per_chain[1])
     last = _last(
@@ -238,39 +261,32 @@ def current_votes(t: GovTables, addresses=EVERY, now: int | None = None) -> Data
     from ballotlake.operators.weights import canonical_weight
 
     now = int(time.time()) if now is None else now
-    votes = settle(latest_vote_per_poll(t, addresses), "current_votes")
     ends = t.poll.select(
         utc(F.col("end_date")).alias("closes"),
         F.least(F.col("end_date").cast("bigint"), F.lit(now).cast("bigint")).alias("unix"),
     ).distinct()
-    cuts = settle(blocks_at(t, ends).select("closes", "cut_id"), "cuts")
-    asked = votes.join(cuts, "closes").select("address", "cut_id").distinct()
-    voters = settle(
+    cuts = blocks_at(t, ends).select("closes", "cut_id")
+    # The cut goes onto the vote once; weights then come back by address and cut, however many polls share a cut.
+    votes = settle(latest_vote_per_poll(t, addresses).join(cuts, "closes", "left"), "current_votes")
+    asked = votes.where(F.col("cut_id").isNotNull()).select("address", "cut_id").distinct()
+    voters = (
         canonical_voter(t, asked, PER_ROW)
-        .select(F.col("address").alias("asker"), "cut_id", F.col("canonical").alias("address")),
-        "voters",
+        .select(F.col("address").alias("asker"), "cut_id", F.col("canonical").alias("address"))
     )
-    weights = canonical_weight(t, voters, PER_ROW).select(F.col("asker").alias("address"), "cut_id", F.col("amount").alias("support"))
-    support = weights.join(cuts, "cut_id").select("address", "closes", "support")
+    weights = canonical_weight(t, settle(voters, "voters"), PER_ROW).select(
+        F.col("asker").alias("address"), "cut_id", F.col("amount").alias("support"))
     columns = [
         "poll_id", *_BALLOT, F.col("block_ts").alias("block_timestamp"), "chain_id", "support",
         F.col("tx_hash").alias("hash"),
     ]
-    return votes.join(support, ["address", "closes"], "left").select(
+    return votes.join(weights, ["address", "cut_id"], "left").select(
         *(["address"] if many(addresses) else []), *columns
     )
 
 
 def current_votes_by_voter(t: GovTables, addresses=EVERY) -> DataFrame:
     """Last first-chain vote per poll and voter, for a list of wallets and those linked to them."""
-    votes = window_votes(t)
-    if addresses is not EVERY:
-        wanted = addresses if isinstance(addresses, DataFrame) else one_column(
-            votes.sparkSession, addresses, "address", T.StringType()
-        )
-        wanted = wanted.toDF("address")
-        linked = wallet_pairs(t).join(wanted, "address", "left_semi").select("voter")
-        votes = only(votes, "voter", wanted.union(linked))
+    votes = _heard(t, window_votes(t), _asked(t, addresses))
     votes = _last(votes, ["voter", "poll_id"], ["block_id", "log_index"], [*_BALLOT, "block_ts"])
     return votes.select(
         "voter", "poll_id", "option_id_raw", "option_id", F.col("block_ts").alias("block_timestamp")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ballotlake.functions.asof import EVERY, NOW, AsOf, only
+from ballotlake.functions.asof import EVERY, NOW, AsOf, one_column, only
 from ballotlake.functions.folds import PER_ROW, known_at, latest
 from ballotlake.functions.settle import settle
 from ballotlake.model import AMOUNT, RESULT, GovTables
@@ -62,8 +66,16 @@ def voting_weights(t: GovTables, as_of: AsOf = NOW, addresses=EVERY) -> DataFram
     (NULL address) match nothing; they are joined under a key of their own, so
     that they stay spread over the tasks.
     """
-    accounts = ledger(t, as_of)
-    links = links_for(t, as_of)
+    links, among = links_for(t, as_of), None
+    if addresses is not EVERY:
+        # Only what the wanted addresses and the members of their links hold is added up.
+        wanted = _wanted(t, addresses)
+        here = [links.select("id", F.col(c).alias("address")) for c in ("hot", "cold")]
+        own = here[0].union(here[1]).join(wanted, "address", "left_semi").select("id").distinct()
+        links = links.join(own, "id", "left_semi")
+        members = links.select(F.explode(F.array("hot", "cold", "proxy")).alias("address"))
+        among = wanted.union(members).distinct()
+    accounts = ledger(t, as_of, among)
     by_proxy = _party_weights(_proxy_weights(links, accounts)).select(
         "address", F.col("total_weight").alias("weight")
     )
@@ -77,6 +89,14 @@ def voting_weights(t: GovTables, as_of: AsOf = NOW, addresses=EVERY) -> DataFram
     return only(by_proxy.unionByName(by_balance), "address", addresses)
 
 
+def _wanted(t: GovTables, addresses) -> DataFrame:
+    """One or several addresses as a column of different ones."""
+    if isinstance(addresses, DataFrame):
+        return addresses.toDF("address").distinct()
+    listed = addresses if isinstance(addresses, (list, tuple, set)) else [addresses]
+    return one_column(t.proxy.sparkSession, listed, "address", T.StringType())
+
+
 # --- row form -------------------------------------------------------------------------------
 
 
@@ -104,11 +124,14 @@ def _member(address, wallet: bool = True, locked: bool = True) -> Column:
     )
 
 
-def _weigh(t: GovTables, voters: DataFrame, members: Column, names: list[str], cut) -> DataFrame:
-    """``voters``, their columns named, with ``amount``: what their members hold at the cut."""
+def _weigh(t: GovTables, voters: DataFrame, found: DataFrame, members: Column, cut) -> DataFrame:
+    """``voters`` with ``amount``: what their members hold at the cut.
+
+    ``found`` has each different place (address, with ``PER_ROW`` also cut) once, so equal rows of ``voters`` are
+    weighed once and each keeps its line, and what else they carry is not copied along.
+    """
     place = ["address", "cut_id"] if cut is PER_ROW else ["address"]
-    whole = F.struct(*names).alias("voter")
-    asked = voters.select(whole, *place[1:], F.inline(members)).withColumnRenamed("member", "address")
+    asked = found.select(F.struct(*place).alias("voter"), *place[1:], F.inline(members)).withColumnRenamed("member", "address")
     if cut is PER_ROW:
         asked = settle(asked, "members")
     held = known_at(asked, _balance_history(t), "address", _HELD, cut)
@@ -116,16 +139,21 @@ def _weigh(t: GovTables, voters: DataFrame, members: Column, names: list[str], c
         or_zero(F.when(F.col("with_wallet"), F.col("wallet")))
         + or_zero(F.when(F.col("with_locked"), F.col("locked")))
     ).cast(AMOUNT)
-    return (
-        asked.join(held, place, "left").groupBy("voter").agg(F.sum(part).alias("amount"))
-        .select("voter.*", "amount")
-    )
+    weights = asked.join(held, place, "left").groupBy("voter").agg(F.sum(part).alias("amount")).select("voter.*", "amount")
+    return _beside(voters, weights, place)
+
+
+def _beside(voters: DataFrame, weights: DataFrame, place: list[str]) -> DataFrame:
+    """Joined by place, where NULL is a place too."""
+    right = weights.select(*[F.col(c).alias(f"_{c}") for c in place], "amount")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place])
+    return voters.join(right, same).select(*voters.columns, "amount")
 
 
 def canonical_weight(t: GovTables, voters: DataFrame, cut, legacy: bool = False) -> DataFrame:
     """``voters`` (column ``address``) with ``amount``, their weight at the cut.
 
-    The rows must be distinct; all their columns are kept.  A voter counts its
+    All columns are kept, and equal rows each get the weight.  A voter counts its
     own wallet and locked balance.  A proxy contract also counts those of its
     hot and of its cold wallet, once if they are the same.  ``legacy`` is the
     rule of old polls: only the wallets of hot and cold, both counted even if
@@ -136,7 +164,8 @@ def canonical_weight(t: GovTables, voters: DataFrame, cut, legacy: bool = False)
     contracts = t.proxy.select(
         F.col("vote_proxy").alias("address"), "block_id", "id", F.struct("hot", "cold").alias("pair")
     )
-    pairs = known_at(voters, contracts, "address", [latest("pair", "pair", "id")], cut)
+    places = voters.select(*place).distinct()
+    pairs = known_at(places, contracts, "address", [latest("pair", "pair", "id")], cut)
     own = F.array(_member(F.col("address")))
     if legacy:
         linked = F.array(_member(F.col("pair.hot"), locked=False), _member(F.col("pair.cold"), locked=False))
@@ -144,11 +173,11 @@ def canonical_weight(t: GovTables, voters: DataFrame, cut, legacy: bool = False)
         wallets = F.array_distinct(F.array("pair.hot", "pair.cold"))
         linked = F.transform(wallets, lambda wallet: _member(wallet))
     members = F.when(F.col("pair").isNull(), own).otherwise(F.concat(own, linked))
-    return _weigh(t, voters.join(pairs, place, "left"), members, voters.columns, cut)
+    return _weigh(t, voters, places.join(pairs, place, "left"), members, cut)
 
 
 def party_weight(t: GovTables, wallets: DataFrame, cut) -> DataFrame:
-    """``wallets`` (column ``address``, distinct rows) with ``amount``, seen from the wallet.
+    """``wallets`` (column ``address``; equal rows each) with ``amount``, seen from the wallet.
 
     Own wallet and locked balance, the locked balance of the newest proxy
     contract the wallet belongs to, and the wallet balance of its partner.
@@ -156,7 +185,8 @@ def party_weight(t: GovTables, wallets: DataFrame, cut) -> DataFrame:
     place = ["address", "cut_id"] if cut is PER_ROW else ["address"]
     link = F.struct("hot", "cold", "vote_proxy").alias("link")
     history = t.proxy.select(F.explode(parties()).alias("address"), "id", "block_id", link)
-    links = known_at(wallets, history, "address", [latest("link", "link", "id")], cut)
+    places = wallets.select(*place).distinct()
+    links = known_at(places, history, "address", [latest("link", "link", "id")], cut)
     partner = F.when(F.col("link.cold") == F.col("address"), F.col("link.hot")).otherwise(
         F.col("link.cold")
     )
@@ -165,4 +195,4 @@ def party_weight(t: GovTables, wallets: DataFrame, cut) -> DataFrame:
         _member(F.col("link.vote_proxy"), wallet=False), _member(partner, locked=False)
     )
     members = F.when(F.col("link").isNull(), own).otherwise(F.concat(own, linked))
-    return _weigh(t, wallets.join(links, place, "left"), members, wallets.columns, cut)
+    return _weigh(t, wallets, places.join(links, place, "left"), members, cut)

@@ -673,6 +673,11 @@ SELECT from_address, immediate_caller, {shown}{_dec('lock_amt', 'lock_amount')},
 SELECT v.id, v.voter, v.block_id, {_dec(f"(SELECT arg_max(h.amount, h.id) FROM wallet_balance h WHERE h.address = v.voter AND h.block_id <= v.block_id)", 'amount')}
 FROM vote v""")
     out["dedupe_events"] = _sql({}, f"SELECT id, sender, receiver, {_dec('amount', 'amount')}, block_id, tx_id, log_index FROM transfer")
+    out["running_balances_stream"] = out["running_balances_wallet"]
+    out["dedupe_events_stream"] = out["dedupe_events"]
+    out["copy_text_round_trip"] = _sql({}, f"""
+SELECT id, from_address, immediate_caller, {_dec('lock_amt', 'lock_amt')}, contract_address, log_index, tx_id, block_id FROM locks""")
+    out["snapshot_round_trip"] = _sql({}, "SELECT id, voter, poll_id, option_id, option_id_raw, block_id, chain_id FROM vote")
     out["retract_blocks"] = _sql({}, _kept_rows())
     out["merge_chains"] = _sql({}, """
 SELECT id, voter, poll_id, option_id, option_id_raw, block_id, chain_id FROM vote

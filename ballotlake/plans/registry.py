@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 from ballotlake.functions.asof import EVERY, NOW, block, unix
 from ballotlake.functions.folds import PER_ROW, known_at, latest
-from ballotlake.model import RESULT, GovTables
+from ballotlake.functions.settle import fresh_folder
+from ballotlake.model import RESULT, SCHEMAS, GovTables
 from ballotlake.operators import balances, blocks, locks, polls, proxies, quality, tally, votes, weights
 from ballotlake.plans.probes import (
     AFTER, CALLERS, DURING, HASH_LIKE, LAST_POLL, LAST_VOTER, LOCKS_FROM, POLL, VOTER, VOTERS,
 )
+from ballotlake.sources.copytext import load_copy_text, write_copy_text
 from ballotlake.sources.events import event_tables
 from ballotlake.sources.located import locate
 from ballotlake.sources.logs import route_logs
+from ballotlake.sources.snapshot import load_snapshot, save_snapshot
+from ballotlake.streaming.balances import running_balance_stream, stored_balances
+from ballotlake.streaming.events import dedupe_into, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +114,45 @@ def _stored(t: GovTables, changes: DataFrame) -> DataFrame:
     return _amount(balances.running_balances(changes).select("id", "address", "amount", "block_id"))
 
 
+def _copy_text_round_trip(t: GovTables) -> DataFrame:
+    spark = t.lock.sparkSession
+    path = fresh_folder(spark, "copy")
+    columns = ["id", "from_address", "immediate_caller", "lock_amt", "contract_address", "log_index", "tx_id", "block_id"]
+    write_copy_text(t.lock.select(*columns), path)
+    return load_copy_text(spark, path, "lock", columns).select(*columns[:3], F.col("lock_amt").cast(RESULT).alias("lock_amt"), *columns[4:])
+
+
+def _snapshot_round_trip(t: GovTables) -> DataFrame:
+    spark = t.vote.sparkSession
+    path = fresh_folder(spark, "snapshot")
+    save_snapshot(t, path, ["vote", "poll"])
+    return load_snapshot(spark, path).vote.select("id", "voter", "poll_id", "option_id", "option_id_raw", "block_id", "chain_id")
+
+
+def _streamed(t: GovTables, rows: DataFrame, table: str, start) -> str:
+    """Runs a stream over rows of a table once, into a new folder."""
+    spark = t.block.sparkSession
+    source, out = fresh_folder(spark, "stream-in"), fresh_folder(spark, "stream-out")
+    rows.write.parquet(source)
+    query = start(stream_table(spark, source, table), out, fresh_folder(spark, "stream-mark")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return out
+
+
+def _balance_stream(t: GovTables) -> DataFrame:
+    columns = SCHEMAS["transfer"].names
+    out = _streamed(t, t.transfer.select(*columns), "transfer", lambda events, out, mark: running_balance_stream(
+        balances.transfer_changes(events), out, mark))
+    return _amount(stored_balances(t.block.sparkSession, out).select("id", "address", "amount", "block_id"))
+
+
+def _deduped_stream(t: GovTables) -> DataFrame:
+    columns = SCHEMAS["transfer"].names
+    out = _streamed(t, t.transfer.select(*columns).union(t.transfer.select(*columns)), "transfer", dedupe_into)
+    kept = t.block.sparkSession.read.parquet(out)
+    return _amount(kept.select("id", "sender", "receiver", "amount", "block_id", "tx_id", "log_index"))
+
+
 def _over_tables() -> dict[str, Callable[[GovTables], DataFrame]]:
     q: dict[str, Callable[[GovTables], DataFrame]] = {}
 
@@ -211,6 +255,10 @@ def _over_tables() -> dict[str, Callable[[GovTables], DataFrame]]:
     q["running_balances_locked"] = lambda t: _stored(t, balances.lock_changes(t.lock))
     q["balances_at_votes"] = _balances_at_votes
     q["dedupe_events"] = _replayed_transfers
+    q["running_balances_stream"] = _balance_stream
+    q["dedupe_events_stream"] = _deduped_stream
+    q["copy_text_round_trip"] = _copy_text_round_trip
+    q["snapshot_round_trip"] = _snapshot_round_trip
     q["retract_blocks"] = _retracted
     q["merge_chains"] = _merged_chains
     q["route_logs"] = _routed

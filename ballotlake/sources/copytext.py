@@ -17,9 +17,23 @@ ESCAPES = (("t", "\t"), ("n", "\n"), ("r", "\r"), ("b", "\b"), ("f", "\f"), ("v"
 _HOLD = "\x00"
 
 
+#: A backslash and hexadecimal or octal digits stand for the byte of that value.
+_NUMBERED = r"\\(?:x[0-9A-Fa-f]{1,2}|[0-7]{1,3})"
+
+
+def _numbered(value: Column) -> Column:
+    """Values with numbered bytes, decoded as UTF-8 together with what stands around them."""
+    parts = F.split(value, _NUMBERED, -1)
+    codes = F.transform(F.regexp_extract_all(value, F.lit(_NUMBERED), F.lit(0)), lambda c: F.when(
+        F.substring(c, 2, 1) == "x", F.lpad(F.substring(c, 3, 2), 2, "0")
+    ).otherwise(F.lpad(F.conv(F.substring(c, 2, 3), 8, 16), 2, "0")))
+    hexes = F.zip_with(F.transform(parts, lambda p: F.hex(p.cast("binary"))), codes, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+    return F.when(value.rlike(_NUMBERED), F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")).otherwise(value)
+
+
 def _unescape(value: Column) -> Column:
     """Backslash pairs are put aside first, so that an escaped backslash escapes nothing."""
-    value = F.replace(value, F.lit("\\\\"), F.lit(_HOLD))
+    value = _numbered(F.replace(value, F.lit("\\\\"), F.lit(_HOLD)))
     for letter, character in ESCAPES:
         value = F.replace(value, F.lit(f"\\{letter}"), F.lit(character))
     value = F.replace(value, F.lit("\\"), F.lit(""))

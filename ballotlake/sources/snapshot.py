@@ -2,36 +2,53 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballotlake.model import SCHEMAS, GovTables
 
+_LISTED = "_listed"
 _CLUSTERED = {"block": "id", "block2": "id", "tx": "id", "tx2": "id"}
 
 
+#: A file holds at most so many rows, so very large tables become more files, not larger ones.
+ROWS_PER_FILE = 20_000_000
+
+
 def save_snapshot(t: GovTables, path: str, tables: list[str] | None = None) -> None:
     """Every table as parquet, its rows in ranges of blocks.
 
-    Ranges of blocks give each file narrow block-id bounds, so a cut by block
-    skips the files after it.  The range bounds come from a sample, so the
-    number of files follows the size of the table.
+    The tables go to a folder of their own and are listed last, so a reader sees the snapshot before or this one,
+    never a mixture.  Ranges of blocks give each file narrow block-id bounds, so a cut by block skips the files after it.
     """
-    for name in tables or t.names():
+    names = tables or t.names()
+    version = f"{time.time_ns()}-{uuid.uuid4().hex}"
+    for name in names:
         df = getattr(t, name)
         order = "block_id" if "block_id" in df.columns and name not in _CLUSTERED else _CLUSTERED.get(name)
         if order:
             df = df.repartitionByRange(order).sortWithinPartitions(order)
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/{version}/{name}")
+    listed = getattr(t, names[0]).sparkSession.createDataFrame([(version, name) for name in names], "version string, table string")
+    listed.coalesce(1).write.mode("append").parquet(f"{path}/{_LISTED}")
 
 
 def load_snapshot(spark: SparkSession, path: str, tables: list[str] | None = None) -> GovTables:
-    """The tables of a snapshot; a table is opened when it is first used."""
+    """The tables of the newest whole snapshot, those it has; a table is opened when it is first used."""
+    listed = spark.read.parquet(f"{path}/{_LISTED}")
+    newest = listed.agg(F.max("version")).first()[0]
+    names = {row[0] for row in listed.where(F.col("version") == newest).select("table").collect()}
+    if missing := set(tables or ()) - names:
+        raise ValueError(f"the snapshot has no {sorted(missing)}; it has {sorted(names)}")
+
     def reader(name: str):
-        return lambda: spark.read.parquet(f"{path}/{name}")
+        return lambda: spark.read.parquet(f"{path}/{newest}/{name}")
 
-    return GovTables(**{name: reader(name) for name in tables or SCHEMAS})
+    return GovTables(**{name: reader(name) for name in tables or sorted(names)})
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

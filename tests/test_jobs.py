@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from ballotlake.sources.located import locate_all
 from ballotlake.sources.logs import route_logs, write_routed
 from ballotlake.sources.snapshot import conform, load_snapshot, save_snapshot
 from ballotlake.streaming.balances import rewind, running_balance_stream, stored_balances
-from ballotlake.streaming.events import dedupe_stream, stream_table
+from ballotlake.streaming.events import dedupe_batch, dedupe_into, dedupe_stream, stream_table
 
 SF = "/root/testdata/sf0.001"
 CHAIN = [(i, 100 + i, 1000 * i) for i in range(1, 9)]
@@ -210,19 +212,77 @@ def test_a_repeated_micro_batch_changes_nothing(spark, tables, tmp_path):
         fold_batch(changes.where("block_id = 2"), 2, f"{tmp_path}/o")
 
 
-@pytest.mark.parametrize("within", [None, "1 day"])
-def test_dedupe_stream_drops_copies_across_restarts(spark, tables, tmp_path, within):
+@pytest.mark.parametrize("into", [False, True])
+def test_dedupe_stream_drops_copies_across_restarts(spark, tables, tmp_path, into):
     t = locate_all(tables(block=CHAIN, transfer=[transfer("a", "b", i, i) for i in range(1, 9)]))
     columns = [*SCHEMAS["transfer"].names, "block_number", "block_ts", "tx_hash"]
     events = t.transfer.select(*columns)
     source, out, mark = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark"
 
     def start():
-        stream = dedupe_stream(stream_table(spark, source, "transfer", located=True, files_per_batch=1), within)
-        _run(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark))
+        stream = stream_table(spark, source, "transfer", located=True, files_per_batch=1)
+        if into:
+            _run(dedupe_into(stream, out, mark))
+        else:
+            _run(dedupe_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark))
 
     _write(events.union(events), source, "id <= 5")
     start()
     _write(events, source, "id > 2")
     start()
     assert rows(spark.read.parquet(out), "id") == [(i,) for i in range(1, 9)]
+
+
+def test_a_late_first_delivery_is_kept(spark, tables, tmp_path):
+    events = tables(block=CHAIN, transfer=[transfer("a", "b", i, i) for i in range(1, 9)]).transfer
+    out = f"{tmp_path}/out"
+    for batch, condition in enumerate(("id > 4", "id IN (2, 6)", "id < 4 OR id = 8", "id = 1")):
+        dedupe_batch(events.where(condition), batch, out)
+    dedupe_batch(events.where("id < 4 OR id = 8"), 2, out)
+    assert rows(spark.read.parquet(out), "id") == [(i,) for i in (1, 2, 3, 5, 6, 7, 8)]
+
+
+def test_stream_state_is_put_together_and_old_state_goes(spark, tables, tmp_path, monkeypatch):
+    from ballotlake.streaming import balances as stream
+
+    monkeypatch.setattr(stream, "COMPACT", 2)
+    t = tables(block=CHAIN, transfer=[transfer(f"a{i % 3}", f"b{i % 4}", i, i) for i in range(1, 10)])
+    changes = balances.transfer_changes(t.transfer)
+    for batch in range(9):
+        stream.fold_batch(changes.where(f"block_id = {batch + 1}"), batch, f"{tmp_path}/o")
+    assert rows(stored_balances(spark, f"{tmp_path}/o")) == rows(balances.running_balances(changes))
+    left = sorted(os.listdir(f"{tmp_path}/o/last"))
+    assert left == [f"batch={k}" for k in (6, 7, 8)] and sorted(os.listdir(f"{tmp_path}/o/whole")) == ["batch=5", "batch=7"]
+    touched = spark.read.parquet(f"{tmp_path}/o/last/batch=8").count()
+    assert touched == 2
+
+
+def test_snapshot_tells_what_it_has_and_is_published_whole(spark, tables, tmp_path):
+    t = tables(block=CHAIN, vote=[{"voter": "a", "poll_id": 1, "block_id": 1}])
+    save_snapshot(t, f"{tmp_path}/s", ["block", "tx", "vote"])
+    loaded = load_snapshot(spark, f"{tmp_path}/s")
+    assert loaded.names() == ["block", "tx", "vote"] and "poll" not in loaded
+    assert quality.integrity_report(loaded).count() > 0
+    t.block.limit(1).write.parquet(f"{tmp_path}/s/99999999999999999999-broken/block")  # a snapshot that was not finished
+    assert load_snapshot(spark, f"{tmp_path}/s").block.count() == len(CHAIN)
+    with pytest.raises(ValueError, match="no \\['poll'\\]"):
+        load_snapshot(spark, f"{tmp_path}/s", ["poll"])
+
+
+def test_numbered_bytes_in_copy_text(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("1\t2\ta\\x41b\\101c\\\\x41\\xc3\\xa9\t1970-01-01 00:00:01\n")
+    assert rows(load_copy_text(spark, f"{tmp_path}/c.tsv", "block"), "hash") == [("aAbAc\\x41é",)]
+
+
+@pytest.mark.parametrize("values", [["7", "12"], [7, 12], [7.0, 12.0]])
+def test_lists_of_any_length_are_read_alike(spark, values):
+    from pyspark.sql import types as T
+
+    from ballotlake.functions.asof import one_column
+    kind = type(values[0])
+    long_ = values + [kind(i) for i in range(1000, 2500)]
+    for listed in (values, long_):
+        out = one_column(spark, listed, "poll_id", T.IntegerType())
+        assert out.schema["poll_id"].dataType == T.IntegerType() and out.count() == len(listed)
+        assert out.where("poll_id in (7, 12)").count() == 2
+    assert one_column(spark, [], "poll_id", T.IntegerType()).count() == 0
