@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with a dot in the name a field of a struct column."""
+    column, _, field = name.partition(".")
+    return batch.column(column).field(field) if field else batch.column(column)
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes of text each."""
     if not batch.num_rows:
         return
-    sizes = batch.column(text).cast(pa.binary())
+    sizes = of(batch, text).cast(pa.binary())
     ends = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(sizes), 0), dtype=np.int64))
     start = 0
     while start < batch.num_rows:
@@ -80,6 +87,6 @@ def matrix(df: DataFrame, key: str, rows: int, width: int) -> np.ndarray:
     return out
 
 
-def with_row(docs: DataFrame, *named: str) -> DataFrame:
-    """The named columns beside the whole row as a struct, so that no clashing name can get in the way."""
-    return docs.select(*[docs[c] for c in named], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+def with_row(docs: DataFrame) -> DataFrame:
+    """The whole row as a struct, so that no clashing name can get in the way and no text travels twice."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

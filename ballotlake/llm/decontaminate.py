@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlake.llm.common import offsets, pieces, raw, with_row
+from ballotlake.llm.common import of, offsets, pieces, raw, with_row
 
 WINDOW = 10
 #: Bytes of benchmark text searched in one pass over the documents.
@@ -140,9 +140,9 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
 def _searcher(block: Suffixes):
     def search(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, "row.text"):
                 before = part.column("found").to_pylist()
-                counts, starts, hit, matches = _search(block, raw(part.column("text")))
+                counts, starts, hit, matches = _search(block, raw(of(part, "row.text")))
                 per_text: dict[int, list] = {}
                 for t, *match in matches:
                     per_text.setdefault(t, []).append(match)
@@ -178,7 +178,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
     items = items.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    out = with_row(docs, "text").withColumn("found", F.lit(None).cast(FOUND))
+    out = with_row(docs).withColumn("found", F.lit(None).cast(FOUND))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
         out = out.mapInArrow(_searcher(Suffixes([(r[0], bytes(r[1])) for r in rows], window)), out.schema)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballotlake.llm.common import with_row, written
+from ballotlake.llm.common import written
 
 RATIO = 0.3
 LEAST_PAGES = 5
@@ -53,13 +53,13 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Every row of ``docs`` as ``row``, with its new ``text``, ``n_lines`` and ``n_dropped``."""
     found = written(boilerplate(docs, host, ratio, least_pages), "boilerplate")
-    pages = with_row(docs.withColumn("_host_", F.col(host)), "_host_")
+    pages = docs.select(docs[host].alias("_host_"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = pages.alias("p").join(found.alias("f"), F.col("p._host_").eqNullSafe(F.col("f.host")), "left")
     lines = _lines(F.col("p.row.text"))
     kept = F.when(F.col("f.codes").isNull(), lines).otherwise(
         F.filter(lines, lambda x: ~F.array_contains(F.col("f.codes"), _code(F.trim(x)))))
     out = joined.select(
-        F.col("p.row").dropFields("_host_").alias("row"), F.array_join(kept, "\n").alias("text"),
+        F.col("p.row").alias("row"), F.array_join(kept, "\n").alias("text"),
         F.size(lines).alias("before"), F.size(kept).alias("after"))
     # size() of a null is -1 or null, depending on the session's settings.
     none = F.col("text").isNull()

@@ -6,11 +6,12 @@ a border of units and the units can be encoded one by one (checked when the tabl
 characters are cut besides).
 
 Documents are dealt into blocks of about ``BLOCK_BYTES`` of text, by row, so that neither copies nor a hot id fill one.
-That is the only shuffle.  Inside a block, where all further keys live: the different units are exploded into
-substrings of at most the longest piece's length, these are equi-joined to the piece table, the edges found are
-grouped by unit, and a higher-order aggregate folds them position by position to the path of the highest total score
-(ties: the longer last piece).  A character that no piece covers is an edge of its own and becomes its UTF-8 bytes.
-The ids of the units are then put together in the order of each document, block by block.
+A block hands on each of its different units once.  By unit, these meet in one place: there the different units of the
+whole corpus are exploded into substrings of at most the longest piece's length, equi-joined to the piece table,
+grouped back to units, and a higher-order aggregate folds the edges position by position to the path of the highest
+total score (ties: the longer last piece).  A character that no piece covers is an edge of its own and becomes its UTF-8
+bytes.  The paths go back to the blocks that have the unit, where the ids of each document are put together in order.
+A unit is one row per block however often it occurs, and a block is of bounded size.
 
 The piece table is broadcast: it has at most ``MOST_PIECES`` rows, whatever the corpus.  Its vocabulary comes from a
 SentencePiece model file; scores are the model's.
@@ -28,11 +29,12 @@ from dataclasses import dataclass
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
 UNIT = 128
 MOST_PIECES = 1 << 20
 MARK = "▁"
@@ -85,9 +87,11 @@ def _constants(values) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",")
 
 
-def units(text: Column) -> Column:
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(UNITS), F.lit(0))).otherwise(F.array().cast("array<string>"))
+_UNITS = regex.compile(UNITS)
+
+
+def units(text: str | None) -> list[str]:
+    return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 # An edge in one long: where it ends, where it starts, and the row of the score table.
@@ -108,23 +112,24 @@ def _row(e: Column) -> Column:
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``words`` (block, word; different ones) with the rows of the piece table on the best path; -1 - c for character c."""
+    """``words`` (word; different ones) with the rows of the piece table on the best path; -1 - c for character c.
+
+    Where ``words`` is dealt by word already, nothing is dealt anew.
+    """
     spark = words.sparkSession
     table = spark.createDataFrame(
         [(p, k) for k, (p, _, _) in enumerate(vocabulary.rows)], "piece string, row int")
     scores = _constants([s for _, _, s in vocabulary.rows] + [vocabulary.unknown]).cast("array<double>")
     none = len(vocabulary.rows)
-    numbered = words.withColumn("w", F.monotonically_increasing_id()).withColumn("size", F.length("word"))
-    begun = numbered.select("block", "w", "word", "size", F.explode(F.sequence(F.lit(1), "size")).alias("start"))
+    size = F.length("word")
+    begun = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     cut = begun.select(
-        "block", "w", "word", "start",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("size") - F.col("start") + 1))).alias("n"))
+        "word", "start",
+        F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start") + 1))).alias("n"))
     cut = cut.withColumn("piece", F.substring("word", F.col("start"), F.col("n")))
     found = cut.join(F.broadcast(table), "piece", "left").where(F.col("row").isNotNull() | (F.col("n") == 1))
-    edges = found.select(
-        "block", "w", F.when((F.col("start") == 1) & (F.col("n") == 1), F.col("word")).alias("word"),
-        _edge(F.col("start") + F.col("n") - 1, F.col("start") - 1, F.coalesce("row", F.lit(none))).alias("edge"))
-    grouped = edges.groupBy("block", "w").agg(F.max("word").alias("word"), F.collect_list("edge").alias("edges"))
+    edges = found.select("word", _edge(F.col("start") + F.col("n") - 1, F.col("start") - 1, F.coalesce("row", F.lit(none))).alias("edge"))
+    grouped = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
 
     def step(so_far: Column, at: Column) -> Column:
         here = F.filter("edges", lambda e: _end(e) == at)
@@ -134,7 +139,7 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     first = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(F.lit(0).cast("long")).alias("back"))
     back = F.aggregate(F.sequence(F.lit(1), F.length("word")), first, step, lambda s: s["back"])
-    folded = grouped.select("block", "word", back.alias("back"))
+    folded = grouped.select("word", back.alias("back"))
 
     def walk(state: Column, _: Column) -> Column:
         e = F.get(F.col("back"), state["at"])
@@ -143,7 +148,17 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     last = F.struct(F.length("word").alias("at"), F.array().cast("array<bigint>").alias("path"))
     path = F.reverse(F.aggregate(F.sequence(F.lit(1), F.length("word")), last, walk, lambda s: s["path"]))
     rows = F.transform(path, lambda e: F.when(_row(e) == none, -1 - F.ascii(F.substring("word", _start(e) + 1, F.lit(1)))).otherwise(_row(e)))
-    return folded.select("block", "word", rows.alias("rows"))
+    return folded.select("word", rows.alias("rows"))
+
+
+def _different_units(batches):
+    """(block, unit), each once per block and batch."""
+    for batch in batches:
+        found: dict[int, set] = {}
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("row").field("text").to_pylist()):
+            found.setdefault(block, set()).update(units(text))
+        for block, own in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["block", "word"])
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -153,11 +168,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYT
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     rows = rows.repartition(blocks, "block")
-    # The condition always holds; as it needs the whole row, both branches read the same shuffle instead of one each.
-    whole = F.when(F.hash("row") >= F.lit(-(2**31)), F.col("row.text"))
-    words = rows.select("block", F.explode(units(whole)).alias("word")).distinct()
-    paths = lattice(words, vocabulary)
-    texts = rows.select(F.col("block").alias("of"), "row", units(F.col("row.text")).alias("units"))
+    had = rows.mapInArrow(_different_units, "block int, word string").repartition("word")
+    # The least block is not needed; with it, this branch reads the same shuffle as the one below.
+    words = had.groupBy("word").agg(F.min("block").alias("block"))
+    paths = had.join(lattice(words.where(F.col("block") >= 0), vocabulary), "word").select("block", "word", "rows")
+    texts = rows.select(F.col("block").alias("of"), "row")
     ids = [i for _, i, _ in vocabulary.rows]
     byte_ids = vocabulary.byte_ids
 
@@ -167,7 +182,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYT
             known[word] = [i for r in path for i in ([ids[r]] if r >= 0 else [byte_ids[b] for b in chr(-1 - r).encode()])]
         rows, found = left.column("row").combine_chunks(), []
         for a in range(0, left.num_rows, 256):
-            lists = [list(chain.from_iterable(map(known.__getitem__, u))) for u in left.column("units").slice(a, 256).to_pylist()]
+            texts = rows.slice(a, 256).field("text").to_pylist()
+            lists = [list(chain.from_iterable(map(known.__getitem__, units(t)))) for t in texts]
             found.append(pa.array(lists, pa.list_(pa.int32())))
         return pa.table({"row": rows, "ids": pa.chunked_array(found, pa.list_(pa.int32()))})
 

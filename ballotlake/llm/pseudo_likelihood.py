@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlake.llm.common import matrix, number_rows, number_schema, offsets, pieces, raw, summed_rows, with_row, written
+from ballotlake.llm.common import matrix, number_rows, number_schema, of, offsets, pieces, raw, summed_rows, with_row, written
 
 WORDS = 96
 REST = 31
@@ -215,14 +215,14 @@ def score(docs: DataFrame, frequent: list[bytes], network: Window) -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            for part in pieces(batch):
-                ids, places, at = tokens(raw(part.column("text")))
+            for part in pieces(batch, "row.text"):
+                ids, places, at = tokens(raw(of(part, "row.text")))
                 total = np.concatenate([[0.0], np.cumsum(network.log_probabilities(ids, places))])
                 field = part.schema.field("found")
                 found = pa.StructArray.from_arrays([pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]])], fields=list(field.type))
                 yield part.set_column(part.schema.get_field_index("found"), field, found)
 
-    out = with_row(docs, "text").withColumn("found", F.lit(None).cast("struct<n_tokens:bigint,log_likelihood:double>"))
+    out = with_row(docs).withColumn("found", F.lit(None).cast("struct<n_tokens:bigint,log_likelihood:double>"))
     return out.mapInArrow(scored, out.schema).select("row", "found.*")
 
 

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlake.llm.common import matrix, number_rows, number_schema, offsets, pieces, raw, summed_rows, with_row
+from ballotlake.llm.common import matrix, number_rows, number_schema, of, offsets, pieces, raw, summed_rows, with_row
 
 BUCKETS = 1 << 13
 DIM = 32
 REACH = 2
+#: Bytes of text pooled at once; their word vectors take some 60 times as much.
+POOLED_BYTES = 1 << 20
 FIT_ROWS = 20_000
 HIDDEN = 32
 ACCEPT = 0.3
@@ -169,7 +171,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
 
     def pool(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=POOLED_BYTES):
                 x = _pooled(raw(part.column("text")), vectors)
                 flat = pa.array(x.ravel(), pa.float32())
                 yield pa.RecordBatch.from_arrays(
@@ -191,12 +193,12 @@ def score_quality(docs: DataFrame, model) -> DataFrame:
 
     def score(batches):
         for batch in batches:
-            for part in pieces(batch):
-                x = _pooled(raw(part.column("text")), vectors)
+            for part in pieces(batch, "row.text", POOLED_BYTES):
+                x = _pooled(raw(of(part, "row.text")), vectors)
                 y = network(x.astype(float)) if network else np.full(len(x), 0.5)
                 yield part.set_column(part.schema.get_field_index("score"), part.schema.field("score"), pa.array(y, pa.float64()))
 
-    out = with_row(docs, "text").withColumn("score", F.lit(None).cast("double"))
+    out = with_row(docs).withColumn("score", F.lit(None).cast("double"))
     return out.mapInArrow(score, out.schema).select("row", "score")
 
 

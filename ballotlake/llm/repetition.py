@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlake.llm.common import offsets, pieces, raw, with_row
+from ballotlake.llm.common import of, offsets, pieces, raw, with_row
 
 GRAM = 5
 MIN_WORDS = 10
@@ -172,15 +172,15 @@ def _measure(texts: list[bytes]) -> list[dict]:
 
 def _measured(batches):
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, "row.text"):
             kind = part.schema.field("found").type
-            found = pa.array(_measure(raw(part.column("text"))), kind)
+            found = pa.array(_measure(raw(of(part, "row.text"))), kind)
             yield part.set_column(part.schema.get_field_index("found"), part.schema.field("found"), found)
 
 
 def measure_repetition(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (which has ``text``) as ``row``, with the measures and the verdict in ``found``."""
-    out = with_row(docs, "text").withColumn("found", F.lit(None).cast(MEASURES))
+    out = with_row(docs).withColumn("found", F.lit(None).cast(MEASURES))
     return out.mapInArrow(_measured, out.schema).select("row", "found")
 
 

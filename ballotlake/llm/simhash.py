@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlake.llm.common import matrix, number_rows, number_schema, pieces, raw, summed_rows, written
+from ballotlake.llm.common import matrix, number_rows, number_schema, of, pieces, raw, summed_rows, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -203,16 +203,15 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     _, classes = near_classes(docs, distance)
     order = F.struct(F.col("first").isNull(), F.col("first").alias("first"), F.col("fp").alias("fp"))
     kept = written(classes.groupBy("root").agg(F.min(order).alias("k")).select("k.first", F.col("k.fp").alias("own")), "kept")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("fp"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     def with_fingerprint(batches):
         for batch in batches:
-            for part in pieces(batch):
-                found = np.array([fingerprint(t) for t in raw(part.column("text"))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found), part.column("row")], schema=part.schema.remove(1).insert(1, pa.field("fp", pa.int64())))
+            for part in pieces(batch, "row.text"):
+                found = np.array([fingerprint(t) for t in raw(of(part, "row.text"))], np.uint64).view(np.int64)
+                yield part.set_column(1, part.schema.field(1), pa.array(found))
 
-    shape = rows.select("id", F.lit(0).cast("long").alias("fp"), "row").schema
-    rows = rows.mapInArrow(with_fingerprint, shape)
+    rows = rows.mapInArrow(with_fingerprint, rows.schema)
     # Ids spread the rows of a group of copies over the tasks.
     here = rows.join(kept, (rows["fp"] == kept["own"]) & rows["id"].eqNullSafe(kept["first"]), "left_semi")
     return here.dropDuplicates(["id", "fp"]).select("row.*")

@@ -1,6 +1,6 @@
 """Toxicity: cumulative-link ordinal regression of severity on sparse text features.
 
-Features are the words a document has (lower-cased runs of letters), out of the at most ``FEATURES`` words that tell
+Features are the words a document has (lower-cased runs of letters) and the beginnings of its words, out of the at most ``FEATURES`` that tell
 toxic from other documents best by chi-square in the fit sample.  Severity has three grades.  The labels only say
 toxic or not, so the toxic documents of the sample are graded by how many different clearly toxic words (found in
 toxic documents at least ``CLEAR`` of the time) they hold: grade 2 from the median up, else grade 1; all others are
@@ -22,20 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlake.llm.common import pieces, with_row
+from ballotlake.llm.common import of, pieces, with_row
 from ballotlake.llm.quality import _sigmoid, fit_sample
 
 FIT_ROWS = 20_000
 FEATURES = 4096
 LEAST_DOCS = 3
 CLEAR = 0.6
-GRADES = 3
+#: From this probability of any toxicity on a document is called toxic.
+CALLED = 0.3
+BEGINNINGS = (3, 4, 5, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+    """The words of a text, and their beginnings (marked ``^``), which inflected forms share."""
+    found = set(_WORD.findall(text.lower())) if text else set()
+    return found.union(*({f"^{w[:k]}" for w in found if len(w) > k} for k in BEGINNINGS))
 
 
 def _sample_words(batches):
@@ -128,8 +132,8 @@ def score_toxicity(docs: DataFrame, model) -> DataFrame:
         number, ordinal = model
         weight = {w: float(ordinal.w[i]) for w, i in number.items()}
         for batch in batches:
-            for part in pieces(batch):
-                link = np.array([sum(sorted(weight[w] for w in _words(t) if w in weight)) for t in part.column("text").to_pylist()])
+            for part in pieces(batch, "row.text"):
+                link = np.array([sum(sorted(weight[w] for w in _words(t) if w in weight)) for t in of(part, "row.text").to_pylist()])
                 above = ordinal.above(link)
                 each = np.column_stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]])
                 field = part.schema.field("found")
@@ -140,8 +144,8 @@ def score_toxicity(docs: DataFrame, model) -> DataFrame:
     kind = "struct<expected_severity:double,p_toxic:double,grade:int>"
     if model is None:
         nothing = F.struct(F.lit(0.0).alias("expected_severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade"))
-        return with_row(docs, "text").select("row", nothing.alias("found"))
-    out = with_row(docs, "text").withColumn("found", F.lit(None).cast(kind))
+        return with_row(docs).select("row", nothing.alias("found"))
+    out = with_row(docs).withColumn("found", F.lit(None).cast(kind))
     return out.mapInArrow(score, out.schema).select("row", "found")
 
 
@@ -149,4 +153,4 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, fit_toxicity(docs, labels))
-    return scored.select("row.doc_id", "found.*", (F.col("found.p_toxic") >= 0.5).cast("int").alias("toxic"))
+    return scored.select("row.doc_id", "found.*", (F.col("found.p_toxic") >= CALLED).cast("int").alias("toxic"))

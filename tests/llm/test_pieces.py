@@ -66,8 +66,15 @@ def test_odd_texts(spark, vocabulary, library):
     assert codec.encode(docs.limit(0), vocabulary).count() == 0
 
 
-def test_one_shuffle_of_the_texts(spark, vocabulary):
+def test_texts_and_units_are_dealt_once(spark, vocabulary):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    plan = codec.encode(docs, vocabulary)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan
-    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("BroadcastExchange") == 1
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = codec.encode(docs, vocabulary, 60_000)
+        out.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "CartesianProduct" not in plan and plan.count("BroadcastExchange") == 1
+    dealt = [line for line in plan.splitlines() if "- Exchange " in line]
+    assert plan.count("ReusedExchange") == 2 and len(dealt) == 3, plan
