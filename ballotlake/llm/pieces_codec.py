@@ -26,15 +26,15 @@ from __future__ import annotations
 import math
 import unicodedata
 from dataclasses import dataclass
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 UNIT = 128
 MOST_PIECES = 1 << 20
 MARK = "▁"
@@ -94,6 +94,11 @@ def units(text: str | None) -> list[str]:
     return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def words_of(text: str) -> list[str] | None:
+    """The words between single spaces, whose units are those of the text; ``None`` where marks would run together."""
+    return None if text[:1] == " " or "  " in text or MARK in text else text.split(" ")
+
+
 # An edge in one long: where it ends, where it starts, and the row of the score table.
 def _edge(end: Column, start: Column, row: Column) -> Column:
     return F.shiftleft(end.cast("long"), 40) + F.shiftleft((F.lit(1000) - start).cast("long"), 24) + row.cast("long")
@@ -154,9 +159,15 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def _different_units(batches):
     """(block, unit), each once per block and batch."""
     for batch in batches:
+        words: dict[int, set] = {}
         found: dict[int, set] = {}
         for block, text in zip(batch.column("block").to_pylist(), batch.column("row").field("text").to_pylist()):
-            found.setdefault(block, set()).update(units(text))
+            if text and (own := words_of(text)) is not None:
+                words.setdefault(block, set()).update(own)
+            elif text:
+                found.setdefault(block, set()).update(units(text))
+        for block, own in words.items():
+            found.setdefault(block, set()).update(u for w in own for u in _UNITS.findall(MARK + w))
         for block, own in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["block", "word"])
 
@@ -179,12 +190,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYT
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         known = {}
         for word, path in zip(right.column("word").to_pylist(), right.column("rows").to_pylist()):
-            known[word] = [i for r in path for i in ([ids[r]] if r >= 0 else [byte_ids[b] for b in chr(-1 - r).encode()])]
-        rows, found = left.column("row").combine_chunks(), []
+            own = [i for r in path for i in ([ids[r]] if r >= 0 else [byte_ids[b] for b in chr(-1 - r).encode()])]
+            known[word] = np.array(own, np.int32).tobytes()
+
+        class Words(dict):
+            """The ids of a word after a space, put together at its first use."""
+
+            def __missing__(self, word):
+                self[word] = out = b"".join(map(known.__getitem__, _UNITS.findall(MARK + word)))
+                return out
+
+        cached, rows, found = Words(), left.column("row").combine_chunks(), []
         for a in range(0, left.num_rows, 256):
-            texts = rows.slice(a, 256).field("text").to_pylist()
-            lists = [list(chain.from_iterable(map(known.__getitem__, units(t)))) for t in texts]
-            found.append(pa.array(lists, pa.list_(pa.int32())))
+            out = []
+            for text in rows.slice(a, 256).field("text").to_pylist():
+                own = words_of(text) if text else []
+                out.append(b"".join(map(known.__getitem__, units(text)) if own is None else map(cached.__getitem__, own)))
+            flat = pa.array(np.frombuffer(b"".join(out), np.int32), pa.int32())
+            found.append(pa.ListArray.from_arrays(np.cumsum([0] + [len(x) // 4 for x in out]).astype(np.int32), flat))
         return pa.table({"row": rows, "ids": pa.chunked_array(found, pa.list_(pa.int32()))})
 
     shape = rows.select("row", F.array().cast("array<int>").alias("ids")).schema
