@@ -2,8 +2,9 @@
 
 ``BENCH_SF_DIR`` names the data folder and ``BENCH_CPUS`` the threads.
 ``BENCH_QUERIES`` (comma separated, or ``all``) picks other queries.
-Each query is planned, run and its whole result consumed.  ``setup`` is the
-writing of the stored balances, which the weighted queries then read.
+Each query is planned, run and its whole result consumed.  ``setup``, part of
+the total, is the writing of the stored balances, which the weighted queries
+then read; ``locate_facts`` is the join that locates facts at load.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ HEADLINE = [
     "combined_balances_time", "voting_weights_time", "canonical_weight", "weighted_votes_time",
     "tally_time", "tally_all", "tally_block", "lock_history_totals_all", "all_locks_running",
     "shutdown_joins_v1", "running_balances_wallet", "balances_at_votes", "integrity_report",
+    "locate_facts",
 ]
 
 
@@ -36,6 +38,7 @@ def main() -> None:
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"{os.path.dirname(os.path.abspath(__file__))}/spark-warehouse/bench")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,7 +58,7 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
-        "metric": "headline queries, wall time", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "headline queries, wall time", "value": round(setup + sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "setup": round(setup, 3), "sf": os.path.basename(sf_dir.rstrip("/")),
     }), flush=True)
     spark.stop()

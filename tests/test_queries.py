@@ -99,3 +99,37 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_entry_gives_rows(spark):
     result = registered.entry(spark)
     assert result.columns == ["poll_id", "unix", "option_id", "support"] and result.count() > 0
+
+
+def _aggregates_above(plan: str, needle: str) -> list[str]:
+    """The lines of aggregates that have no ``needle`` below them on their branch."""
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    out = []
+    for i, line in enumerate(lines):
+        if "Aggregate" in line:
+            below = []
+            for later in lines[i + 1:]:
+                if depth(later) <= depth(line):
+                    break
+                below.append(later)
+            if not any(needle in x for x in below) and any("event_type,click" in x or "event_type,view" in x for x in below):
+                out.append(line)
+    return out
+
+
+@pytest.mark.parametrize("name", ["current_vote", "current_votes_by_voter"])
+def test_votes_of_others_go_before_anything_is_added_up(spark, name):
+    assert _aggregates_above(_plan(spark, name), "LeftSemi") == []
+
+
+def test_moves_of_others_go_before_balances_are_added_up(spark):
+    plan = _plan(spark, "voting_weight_of_time")
+    sums = [i for i, line in enumerate(plan.splitlines()) if "partial_sum(change" in line]
+    assert sums and all("LeftSemi" in "\n".join(plan.splitlines()[i:i + 8]) for i in sums)
+
+
+def test_history_is_thinned_to_the_asked_voters(spark):
+    plan = _plan(spark, "weighted_votes_time")
+    held = [i for i, line in enumerate(plan.splitlines()) if "partial_max_by(wallet_amount" in line]
+    assert held and all("LeftSemi" in "\n".join(plan.splitlines()[i:i + 8]) for i in held)

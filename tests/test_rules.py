@@ -320,3 +320,10 @@ def test_merged_votes_are_distinct(tables):
                vote=[vote("h", 5), vote("h", 5, log_index=1)], vote2=[{**vote("c", 3), "chain_id": 2}])
     assert rows(votes.merged_votes(t, 9), "address", "block_id", "chain_id", "hash") == [
         ("A", 3, 2, "t3"), ("A", 5, 1, "t5")]
+
+
+def test_equal_voters_each_get_the_weight(spark, tables):
+    t = tables(block=CHAIN, wallet_balance=[{"address": "a", "amount": 10, "block_id": 1}, {"address": "b", "amount": 3, "block_id": 1}])
+    who = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("none", 1)], "address string, ballot int")
+    for weigh in (weights.canonical_weight, weights.party_weight):
+        assert rows(weigh(t, who, 9)) == [("a", 1, 10.0), ("a", 1, 10.0), ("a", 2, 10.0), ("b", 1, 3.0), ("none", 1, 0.0)]
