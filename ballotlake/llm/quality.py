@@ -155,14 +155,15 @@ def held_out(doc_id="doc_id") -> F.Column:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most about ``rows`` labelled training documents, always the same ones."""
+    """(doc_id, text, label) of at most ``rows`` labelled training documents, always the same ones."""
     chosen = (
         labels.where(F.col(label).isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    # At most ``rows`` rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * rows)
+    # At most ``rows`` rows of two numbers.  Of rows that repeat an id, the first text in order stands for them.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
