@@ -216,9 +216,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYT
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The text of an array of ids; control and unknown ids give nothing."""
-    hexes = _constants([b.hex() for b in vocabulary.by_id])
-    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "UTF-8")
-    return F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), "^ ", "")
+    by_id = vocabulary.by_id
+    mark = MARK.encode()
+
+    @F.arrow_udf("string")
+    def texts(lists: pa.Array) -> pa.Array:
+        out = []
+        for a in range(0, len(lists), 256):
+            for own in lists.slice(a, 256).to_pylist():
+                text = b"".join(map(by_id.__getitem__, own or ())).replace(mark, b" ").decode(errors="replace")
+                out.append(text[1:] if text[:1] == " " else text)
+        return pa.array(out, pa.string())
+
+    return texts(ids)
 
 
 def comes_back_as(text: Column) -> Column:
