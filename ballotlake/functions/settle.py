@@ -8,7 +8,6 @@ when it is small.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _own_folder(spark: SparkSession) -> str:
-    """This application's folder, removed when the driver ends in good order."""
+    """This application's folder, removed when the driver's JVM ends in good order."""
     folder = f"{shared_folder(spark)}/ballotlake/{spark.sparkContext.applicationId}"
-    if folder not in spark.__dict__.setdefault("_ballotlake_folders", set()):
-        spark._ballotlake_folders.add(folder)
-        atexit.register(_remove, spark, folder)
+    known = spark.__dict__.setdefault("_ballotlake_folders", set())
+    if folder not in known:
+        path, files = _path(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        known.add(folder)
     return folder
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        remove_folder(spark, folder)
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -48,8 +50,8 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _path(spark, folder)
+    files.delete(path, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
