@@ -3,7 +3,14 @@
 Tokens are lower-cased words.  The vocabulary holds the ``WORDS`` most frequent words of the whole corpus; every other
 word is one of ``REST`` classes by its ending, so no token is lost.  The network predicts each token from the ``REACH``
 tokens on either side: one embedding table per place, their sum through tanh, and a softmax over the vocabulary.  A
-document's score is the sum over its tokens of the log-probability of the token given both sides.
+word of a class has the class's probability times its own share of the class, so that every word has its own.  A
+document's score is the sum over its words of the log-probability of the word given both sides.
+
+A word's share of its class is (its count + types * spelling) / (count of the class + types), with the class's number of
+different words as types (Witten and Bell), so words that are rare or unseen have a small one.  The spelling share is that
+of the word among all strings with such an ending, bytes drawn evenly; both add up to one over a class.  The counts
+are a table of all words of the corpus, however many: documents are dealt into blocks of about ``BLOCK_BYTES``, and each
+different word of a block is joined to its count.  Only the network, which has the classes, is of fixed size.
 
 Everything is learned from all documents.  Word counts are added up in the tasks and then by Spark.  The network is
 trained in ``ROUNDS`` rounds, each over another slice of the documents (by hash of the text), so that all take part
@@ -17,8 +24,10 @@ Repeated rows are scored alike and count as often as they occur.  An empty table
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +43,7 @@ WIDTH = 16
 ROUNDS = 3
 BATCH = 2048
 RATE = 3.0
+BLOCK_BYTES = 16 << 20
 #: Different words that a task counts before it hands them on.
 COUNTED = 200_000
 
@@ -42,6 +52,7 @@ VOCABULARY = WORDS + REST + 1  # the last is the border
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or c == 0x27 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
     for c in range(256))
+LETTERS = sorted(set(_FOLD) - {0x20})
 #: Words outside the vocabulary whose class a task remembers.
 REMEMBERED = 200_000
 
@@ -66,25 +77,57 @@ def _counted(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
 
-def corpus_counts(docs: DataFrame, n: int = WORDS) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words of all documents (ties by the word), and the count of every token of the vocabulary."""
-    counts = written(
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of all documents."""
+    return written(
         docs.select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def most_frequent(counts: DataFrame, n: int = WORDS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The most frequent words (ties by the word), the count of every token of the vocabulary, and the different words of each class."""
     top = counts.orderBy(F.desc("n"), "word").limit(n).collect()
     ending = (F.crc32(F.expr("substring(word, -2, 2)")) % REST).cast("int")
-    share = np.zeros(VOCABULARY)
-    for r in counts.groupBy(ending.alias("k")).agg(F.sum("n").alias("n")).collect():
-        share[WORDS + r["k"]] = r["n"]
+    share, types = np.zeros(VOCABULARY), np.zeros(REST)
+    for r in counts.groupBy(ending.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        share[WORDS + r["k"]], types[r["k"]] = r["n"], r["types"]
     for i, r in enumerate(top):
         share[i] = r["n"]
         share[WORDS + _ending(bytes(r["word"]))] -= r["n"]
-    return [bytes(r["word"]) for r in top], share
+        types[_ending(bytes(r["word"]))] -= 1
+    return [bytes(r["word"]) for r in top], share, types
+
+
+def corpus_counts(docs: DataFrame, n: int = WORDS) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words of all documents (ties by the word), and the count of every token of the vocabulary."""
+    return most_frequent(word_counts(docs), n)[:2]
 
 
 def _ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % REST
 
 
+class Shares:
+    """Log of a word's share of its class, from the counts and the different words of the classes."""
+
+    def __init__(self, share: np.ndarray, types: np.ndarray):
+        self.counts, self.types = share[WORDS:WORDS + REST].tolist(), np.maximum(types, 1).tolist()
+        self.endings = [0] * REST
+        for a in LETTERS:
+            self.endings[_ending(bytes([a]))] += 1
+            for b in LETTERS:
+                self.endings[_ending(bytes([a, b]))] += 1
+
+    def spelling(self, word: bytes) -> float:
+        """Log of the share of a word among all strings with an ending of its class."""
+        return (1 - len(word)) * math.log(len(LETTERS) + 1) - math.log(self.endings[_ending(word)])
+
+    def __call__(self, word: bytes, n: int) -> float:
+        k = _ending(word)
+        spelt = math.log(self.types[k]) + self.spelling(word)
+        seen = math.log(n) if n else -math.inf
+        return float(np.logaddexp(seen, spelt)) - math.log(self.counts[k] + self.types[k])
+
+
 class Tokens:
     """Token numbers of texts, with ``REACH`` border tokens around each."""
 
@@ -226,8 +269,48 @@ def score(docs: DataFrame, frequent: list[bytes], network: Window) -> DataFrame:
     return out.mapInArrow(scored, out.schema).select("row", "found.*")
 
 
+def score_words(docs: DataFrame, frequent: list[bytes], network: Window, counts: DataFrame, shares: Shares, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As ``score``, with every word's share of its class; ``counts`` is (word, n)."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    rows = with_row(docs).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    rows = rows.repartition(blocks, "block")
+    tokens, classed = Tokens(frequent), frozenset(frequent)
+
+    def different(batches):
+        """(block, word) of the words of classes, each once per block and piece."""
+        for batch in batches:
+            for part in pieces(batch, "row.text"):
+                found: dict[int, set] = {}
+                for block, text in zip(part.column("block").to_pylist(), raw(of(part, "row.text"))):
+                    found.setdefault(block, set()).update(words(text))
+                for block, own in found.items():
+                    own -= classed
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.binary())], ["block", "word"])
+
+    had = rows.mapInArrow(different, "block int, word binary").dropDuplicates(["block", "word"])
+    counted = had.join(counts, "word", "left").select("block", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    shape = rows.select("row", F.lit(None).cast("bigint").alias("n_tokens"), F.lit(None).cast("double").alias("log_likelihood")).schema
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = {w: shares(w, n) for w, n in zip(right.column("word").to_pylist(), right.column("n").to_pylist())}
+        out = []
+        for batch in left.select(["row"]).combine_chunks().to_batches():
+            for part in pieces(batch, "row.text"):
+                texts = raw(of(part, "row.text"))
+                ids, places, at = tokens(texts)
+                total = np.concatenate([[0.0], np.cumsum(network.log_probabilities(ids, places))])
+                in_class = np.array([sum(map(own.get, words(t), repeat(0.0))) for t in texts])
+                out.append(pa.RecordBatch.from_arrays(
+                    [part.column("row"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]] + in_class)], ["row", "n_tokens", "log_likelihood"]))
+        return pa.Table.from_batches(out)
+
+    return rows.select(F.col("block").alias("of"), "row").groupBy("of").cogroup(counted.groupBy("block")).applyInArrow(scored, shape)
+
+
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    frequent, share = corpus_counts(docs)
-    scored = score(docs, frequent, train(docs, frequent, share))
+    counts = word_counts(docs)
+    frequent, share, types = most_frequent(counts)
+    scored = score_words(docs, frequent, train(docs, frequent, share), counts, Shares(share, types))
     return scored.select("row.doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

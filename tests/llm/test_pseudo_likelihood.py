@@ -109,3 +109,33 @@ def test_query_is_whole_and_repeatable(spark):
     b = {r.doc_id: r for r in lm.op1_lm_scoring(spark, SF).collect()}
     assert len(a) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert all(abs(a[k].log_likelihood - b[k].log_likelihood) < 1e-6 * (1 + abs(a[k].log_likelihood)) for k in a)
+
+
+def test_every_word_has_its_own_probability(spark):
+    texts = ["the cat sat in the house"] * 60 + ["a grouse ran to the house"] * 3 + [f"w{i}x and the rest" for i in range(200)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = lm.word_counts(docs)
+    frequent, share, types = lm.most_frequent(counts, 2)
+    assert types.sum() == counts.count() - 2 and share[lm.WORDS:].sum() == counts.agg(F.sum("n")).first()[0] - share[:2].sum()
+    shares = lm.Shares(share, types)
+    own = {bytes(r.word): r.n for r in counts.collect() if bytes(r.word) not in frequent}
+    for k in range(lm.REST):  # the words seen and all other strings of a class make one
+        n, t = share[lm.WORDS + k], max(types[k], 1)
+        seen = [w for w in own if lm._ending(w) == k]
+        rest = t / (n + t) * (1 - sum(math.exp(shares.spelling(w)) for w in seen))
+        assert abs(sum(math.exp(shares(w, own[w])) for w in seen) + rest - 1) < 1e-9
+    network = lm.train(docs, frequent, share)
+    asked = [(i, f"the cat sat in the {w}", "q") for i, w in enumerate(["house", "grouse", "qxqzxse", "house", ""])] + [(None, None, None)]
+    asked = spark.createDataFrame(asked, "id long, text string, n_tokens string")
+    assert lm._ending(b"house") == lm._ending(b"grouse") == lm._ending(b"qxqzxse")
+    plain = {r.row.id: r for r in lm.score(asked, frequent, network).collect()}
+    for block_bytes in (20, 1 << 20):
+        out = {r.row.id: r for r in lm.score_words(asked, frequent, network, counts, shares, block_bytes).collect()}
+        assert len(out) == 6 and all(out[i].n_tokens == plain[i].n_tokens for i in out)
+        assert out[0].log_likelihood == out[3].log_likelihood > out[1].log_likelihood + 1 > out[2].log_likelihood + 2
+        assert out[None].n_tokens == out[None].log_likelihood == 0
+        for i in range(5):
+            extra = sum(shares(w, own.get(w, 0)) for w in lm.words(asked.where(f"id = {i}").first().text.encode()) if w not in frequent)
+            assert abs(out[i].log_likelihood - plain[i].log_likelihood - extra) < 1e-6
+    empty = lm.score_words(asked.limit(0), frequent, network, counts, shares)
+    assert empty.count() == 0
