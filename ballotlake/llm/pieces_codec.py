@@ -2,8 +2,7 @@
 
 Spaces become ``\\u2581``, one is put in front, and the text is cut into units: marks of space, then letters, or then
 anything else.  No piece of the table mixes letters with other characters, or has a mark inside, so no piece crosses
-a border of units and the units can be encoded one by one (checked when the table is read; runs of over ``UNIT``
-characters are cut besides).
+a border of units and the units can be encoded one by one (checked when the table is read).
 
 Documents are dealt into blocks of about ``BLOCK_BYTES`` of text, by row, so that neither copies nor a hot id fill one.
 A block hands on each of its different units once.  By unit, these meet in one place: there the different units of the
@@ -11,7 +10,9 @@ whole corpus are exploded into substrings of at most the longest piece's length,
 grouped back to units, and a higher-order aggregate folds the edges position by position to the path of the highest
 total score (ties: the longer last piece).  A character that no piece covers is an edge of its own and becomes its UTF-8
 bytes.  The paths go back to the blocks that have the unit, where the ids of each document are put together in order.
-A unit is one row per block however often it occurs, and a block is of bounded size.
+A unit is one row per block however often it occurs, and a block is of bounded size.  A unit of over ``UNIT`` characters
+(text without spaces, long rulers) would be a long list of edges to fold; it stays in its block, where the same search
+runs over it once, position by position, in time that grows with its length only.  No unit is cut.
 
 The piece table is broadcast: it has at most ``MOST_PIECES`` rows, whatever the corpus.  Its vocabulary comes from a
 SentencePiece model file; scores are the model's.
@@ -38,7 +39,7 @@ BLOCK_BYTES = 16 << 20
 UNIT = 128
 MOST_PIECES = 1 << 20
 MARK = "▁"
-UNITS = rf"{MARK}{{0,{UNIT - 1}}}[\p{{L}}\p{{M}}]{{1,{UNIT}}}|{MARK}{{0,{UNIT - 1}}}[^\p{{L}}\p{{M}}{MARK}]{{1,{UNIT}}}|{MARK}{{1,{UNIT}}}"
+UNITS = rf"{MARK}*+[\p{{L}}\p{{M}}]++|{MARK}*+[^\p{{L}}\p{{M}}{MARK}]++|{MARK}++"
 
 
 @dataclass
@@ -156,8 +157,42 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return folded.select("word", rows.alias("rows"))
 
 
+class Search:
+    """The best path of one unit, in time that grows with its length: what ``lattice`` finds, for a long unit."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.rows = {p: (s, k) for k, (p, _, s) in enumerate(vocabulary.rows)}
+        self.unknown = vocabulary.unknown
+        lengths: dict[str, set] = {}
+        for p in self.rows:
+            lengths.setdefault(p[0], {1}).add(len(p))
+        self.lengths = {c: sorted(n) for c, n in lengths.items()}
+
+    def __call__(self, unit: str) -> list[int]:
+        """The rows of the piece table on the path; -1 - c for character c."""
+        size = len(unit)
+        score, start, row = [0.0] + [-math.inf] * size, [0] * (size + 1), [0] * (size + 1)
+        for i, c in enumerate(unit):
+            for n in self.lengths.get(c, (1,)):
+                if i + n > size:
+                    break
+                own, k = self.rows.get(unit[i:i + n], (None, 0))
+                if own is None:
+                    if n > 1:
+                        continue
+                    own, k = self.unknown, -1 - ord(c)
+                # A start further to the left came first: of equal scores the longer last piece stays.
+                if score[i] + own > score[i + n]:
+                    score[i + n], start[i + n], row[i + n] = score[i] + own, i, k
+        path, at = [], size
+        while at:
+            path.append(row[at])
+            at = start[at]
+        return path[::-1]
+
+
 def _different_units(batches):
-    """(block, unit), each once per block and batch."""
+    """(block, unit) of the units of up to ``UNIT`` characters, each once per block and batch."""
     for batch in batches:
         words: dict[int, set] = {}
         found: dict[int, set] = {}
@@ -169,6 +204,7 @@ def _different_units(batches):
         for block, own in words.items():
             found.setdefault(block, set()).update(u for w in own for u in _UNITS.findall(MARK + w))
         for block, own in found.items():
+            own = {u for u in own if len(u) <= UNIT}
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["block", "word"])
 
 
@@ -188,10 +224,28 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYT
     byte_ids = vocabulary.byte_ids
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = {}
+        class Units(dict):
+            """The ids of a unit; of a long one, put together at its first use."""
+
+            def add(self, unit, path):
+                own = [i for r in path for i in ([ids[r]] if r >= 0 else [byte_ids[b] for b in chr(-1 - r).encode()])]
+                self[unit] = out = np.array(own, np.int32).tobytes()
+                return out
+
+            def __missing__(self, unit):
+                if len(unit) <= UNIT:
+                    raise KeyError(unit)
+                return self.add(unit, (self.search or self.opened())(unit))
+
+            search = None
+
+            def opened(self):
+                self.search = Search(vocabulary)
+                return self.search
+
+        known = Units()
         for word, path in zip(right.column("word").to_pylist(), right.column("rows").to_pylist()):
-            own = [i for r in path for i in ([ids[r]] if r >= 0 else [byte_ids[b] for b in chr(-1 - r).encode()])]
-            known[word] = np.array(own, np.int32).tobytes()
+            known.add(word, path)
 
         class Words(dict):
             """The ids of a word after a space, put together at its first use."""

@@ -78,3 +78,27 @@ def test_texts_and_units_are_dealt_once(spark, vocabulary):
     assert "CartesianProduct" not in plan and plan.count("BroadcastExchange") == 1
     dealt = [line for line in plan.splitlines() if "- Exchange " in line]
     assert plan.count("ReusedExchange") == 2 and len(dealt) == 3, plan
+
+
+def test_long_units_are_searched_whole(spark, vocabulary, library):
+    rnd = random.Random(7)
+    texts = ["-" * 700, "=" * 129 + "x", "x" * 700, " " * 128 + "end", " " * 500 + "end", "   " * 300, "0123456789" * 60, "的中国人民" * 90,
+             "".join(rnd.choice("internationalmente") for _ in range(5000)), "ไทยภาษา" * 40, "\n" * 400 + "a", "é" * 300, "\U0001F600" * 200]
+    texts += ["".join(rnd.choice(["the", "tion", "ers", "é", "Ж", "q", "國"]) for _ in range(rnd.randrange(60, 400))) for _ in range(30)]
+    texts += ["".join(rnd.choice("=-_*#.") * rnd.randrange(1, 40) for _ in range(30)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.row.doc_id: r for r in codec.encode(docs, vocabulary, 3000).withColumn("again", codec.decode(F.col("ids"), vocabulary)).collect()}
+    for i, t in enumerate(texts):
+        assert out[i].again == t
+        want, got = score(vocabulary, library.encode(t)), score(vocabulary, out[i].ids)
+        assert got[1] == want[1] and got[0] >= want[0] - 1e-6 * abs(want[0]), (t[:40], got, want)
+    assert any(len(u) > codec.UNIT for u in codec.units(texts[0])) and "".join(codec.units(texts[4])) == codec.MARK * 501 + "end"
+
+
+def test_search_equals_lattice(spark, vocabulary):
+    rnd = random.Random(8)
+    words = list({codec.MARK * rnd.randrange(3) + "".join(rnd.choice("theinéЖ國q") for _ in range(rnd.randrange(1, 60))) for _ in range(80)})
+    search = codec.Search(vocabulary)
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    for r in codec.lattice(frame, vocabulary).collect():
+        assert search(r.word) == r.rows, r.word
