@@ -12,14 +12,13 @@ each operator says.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ballotlake.functions.settle import fresh_folder
 from ballotlake.llm import decontaminate, lines, pieces_codec, quality, simhash
-from ballotlake.llm.common import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written as Parquet to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "pipeline")
 
     def stage(docs: DataFrame, step) -> DataFrame:
         name, function = step
