@@ -2,31 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballotlake.functions.settle import settle
+
 #: Bytes of text that a task works on at once; one longer document is a piece of its own.
 PIECE_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder in the warehouse only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: the plan is cut, and its size is known."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it back: the plan is cut, and its size is known.
+
+    The folder is the one of ``functions.settle``: guarded on a cluster, and removed when the driver's JVM ends.
+    """
+    return settle(df, f"llm-{name}")
 
 
 def of(batch: pa.RecordBatch, name: str) -> pa.Array:
