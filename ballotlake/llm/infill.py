@@ -58,15 +58,15 @@ def _chars(data: np.ndarray) -> int:
     return int(np.count_nonzero((data & 0xC0) != 0x80))
 
 
-def _framed(text: bytes, compress) -> list[tuple[int, int, bytes]]:
+def _framed(text: bytes, compress, frame_bytes: int) -> list[tuple[int, int, bytes]]:
     """(units, code points, frame) of each frame; both counts are those up to its end."""
     if not text:
         return []
     data = np.frombuffer(text, np.uint8)
     ends = np.append(_inner_ends(data), len(text))
     out, chars = [], 0
-    for a in range(0, len(text), FRAME_BYTES):
-        own = data[a:a + FRAME_BYTES]
+    for a in range(0, len(text), frame_bytes):
+        own = data[a:a + frame_bytes]
         chars += _chars(own)
         out.append((int(np.searchsorted(ends, a + len(own), "right")), chars, compress(own)))
     return out
@@ -79,7 +79,7 @@ def _frames_column(lists: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets([len(own) for own in lists]).astype(np.int32), struct)
 
 
-def store(docs: DataFrame, text: str = "text") -> DataFrame:
+def store(docs: DataFrame, text: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """The columns of ``docs`` but the text as ``row``; ``n`` units, whether a marker is in the text, and its frames."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row"), docs[text].alias("text"))
     kind = rows.select("row").schema["row"].dataType.simpleString()
@@ -89,7 +89,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 texts = raw(part.column("text"))
-                own = [_framed(x, compress) for x in texts]
+                own = [_framed(x, compress, frame_bytes) for x in texts]
                 yield pa.RecordBatch.from_arrays([
                     part.column("row"), pa.array([x[-1][0] if x else 0 for x in own], pa.int64()),
                     pa.array([any(m in x for m in (PREFIX, SUFFIX, MIDDLE)) for x in texts]), _frames_column(own),
@@ -245,9 +245,11 @@ def output_text(frames: Column) -> Column:
     return texts(frames)
 
 
-def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+def fill_in_middle(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, frame_bytes: int = FRAME_BYTES,
+) -> DataFrame:
     """Stores the texts of ``docs`` and cuts them; ``key`` is the column the cuts hang on."""
-    stored = written(store(docs, text), "frames")
+    stored = written(store(docs, text, frame_bytes), "frames")
     return cut(stored, F.col("row")[key], seed)
 
 

@@ -123,6 +123,7 @@ class Queries:
     weights: np.ndarray
     least: np.ndarray
     top: int
+    bucket: int = BUCKET
 
     def norm(self, q: int) -> float:
         return float(np.sqrt(self.weights[self.terms[q]].sum()))
@@ -181,7 +182,7 @@ class _Bucket:
 
 
 def _buckets(batch: pa.RecordBatch, queries: Queries):
-    """The sorted rows of a batch in slices of about ``BUCKET`` vectors or ``BUCKET_TERMS`` coordinates."""
+    """The sorted rows of a batch in slices of at most ``bucket`` vectors or about ``BUCKET_TERMS`` coordinates."""
     at, starts = _lists(batch, "at")
     impact, _ = _lists(batch, "impact")
     impact = impact.astype(np.int64)
@@ -190,7 +191,7 @@ def _buckets(batch: pa.RecordBatch, queries: Queries):
     length = batch.column("length").to_numpy()
     a = 0
     while a < len(ids):
-        b = min(a + BUCKET, max(a + 1, int(np.searchsorted(starts, starts[a] + BUCKET_TERMS, "right")) - 1), len(ids))
+        b = min(a + queries.bucket, max(a + 1, int(np.searchsorted(starts, starts[a] + BUCKET_TERMS, "right")) - 1), len(ids))
         cut = slice(starts[a], starts[b])
         yield _Bucket(ids[a:b], none[a:b], length[a:b], at[cut], impact[cut], starts[a:b + 1] - starts[a], queries)
         a = b
@@ -256,6 +257,7 @@ def _search_block(vectors: DataFrame, queries: Queries) -> DataFrame:
 
 def search(
     docs: DataFrame, items: DataFrame, top: int = TOP, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES,
+    bucket: int = BUCKET,
 ) -> DataFrame:
     """``item_id, rank, doc_id, score``: the ``top`` best documents of every item, best first, scores above 0 only."""
     asked = written(item_terms(items.select("item_id", "text")), "item-terms")
@@ -284,7 +286,7 @@ def search(
         vectors = vectors.repartitionByRange(F.desc("length"), F.xxhash64("mark")).sortWithinPartitions(F.desc("length")).drop("mark")
         vectors = written(vectors, "vectors")
         terms = [np.array([number[t.encode()] for t in x], np.int64) for x in lists]
-        found = _search_block(vectors, Queries(terms, weights, np.zeros(len(terms), np.int64), top))
+        found = _search_block(vectors, Queries(terms, weights, np.zeros(len(terms), np.int64), top, bucket))
         names = asked.sparkSession.createDataFrame(pa.table({
             "item": pa.array(range(len(lists)), pa.int32()), "item_id": own.column("item_id")}))
         out = out.unionByName(found.join(names, "item").select(F.col("item_id").cast(kind), "rank", "doc_id", "score"))
