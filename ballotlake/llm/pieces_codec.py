@@ -4,15 +4,19 @@ Spaces become ``\\u2581``, one is put in front, and the text is cut into units:
 anything else.  No piece of the table mixes letters with other characters, or has a mark inside, so no piece crosses
 a border of units and the units can be encoded one by one (checked when the table is read).
 
-Documents are dealt into blocks of about ``BLOCK_BYTES`` of text, by row, so that neither copies nor a hot id fill one.
+A block is a stretch of one input partition of about ``BLOCK_BYTES`` of text, so neither copies nor a hot id fill one.
 A block hands on each of its different units once.  By unit, these meet in one place: there the different units of the
 whole corpus are exploded into substrings of at most the longest piece's length, equi-joined to the piece table,
-grouped back to units, and a higher-order aggregate folds the edges position by position to the path of the highest
+grouped back to units, and a higher-order aggregate folds the edges, sorted by where they end, to the path of the highest
 total score (ties: the longer last piece).  A character that no piece covers is an edge of its own and becomes its UTF-8
-bytes.  The paths go back to the blocks that have the unit, where the ids of each document are put together in order.
+bytes.  The paths of a block's units go back to it, packed, and meet its documents there: rows travel as compressed
+batches, and a task holds the units of one block and one batch of rows.
 A unit is one row per block however often it occurs, and a block is of bounded size.  A unit of over ``UNIT`` characters
-(text without spaces, long rulers) would be a long list of edges to fold; it stays in its block, where the same search
-runs over it once, position by position, in time that grows with its length only.  No unit is cut.
+(text without any space or sign for pages, long rulers) would be a long list of edges to fold; it stays in its block, where the same
+search runs over it once, position by position, in time that grows with its length only.  No unit is cut.
+
+Input partitions are read twice, once for their units and once for their rows, and must hold the same rows in the same
+order both times, as tables do; a block whose units and rows do not fit together is an error, never a wrong result.
 
 The piece table is broadcast: it has at most ``MOST_PIECES`` rows, whatever the corpus.  Its vocabulary comes from a
 SentencePiece model file; scores are the model's.
@@ -30,13 +34,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ballotlake.llm.common import of, offsets, pieces, with_row
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 16 << 20
-UNIT = 128
+BLOCK_BYTES = 64 << 20
+UNIT = 4096
 MOST_PIECES = 1 << 20
 MARK = "▁"
 UNITS = rf"{MARK}*+[\p{{L}}\p{{M}}]++|{MARK}*+[^\p{{L}}\p{{M}}{MARK}]++|{MARK}++"
@@ -100,9 +107,10 @@ def words_of(text: str) -> list[str] | None:
     return None if text[:1] == " " or "  " in text or MARK in text else text.split(" ")
 
 
-# An edge in one long: where it ends, where it starts, and the row of the score table.
+# An edge in one long: where it ends, where it starts, and the row of the score table.  Of two that end at one place
+# the longer one is the greater.
 def _edge(end: Column, start: Column, row: Column) -> Column:
-    return F.shiftleft(end.cast("long"), 40) + F.shiftleft((F.lit(1000) - start).cast("long"), 24) + row.cast("long")
+    return F.shiftleft(end.cast("long"), 40) + F.shiftleft((F.lit(0xFFFF) - start).cast("long"), 24) + row.cast("long")
 
 
 def _end(e: Column) -> Column:
@@ -110,7 +118,7 @@ def _end(e: Column) -> Column:
 
 
 def _start(e: Column) -> Column:
-    return (F.lit(1000) - F.shiftright(e, 24).bitwiseAND(F.lit(0xFFFF))).cast("int")
+    return (F.lit(0xFFFF) - F.shiftright(e, 24).bitwiseAND(F.lit(0xFFFF))).cast("int")
 
 
 def _row(e: Column) -> Column:
@@ -135,24 +143,32 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     cut = cut.withColumn("piece", F.substring("word", F.col("start"), F.col("n")))
     found = cut.join(F.broadcast(table), "piece", "left").where(F.col("row").isNotNull() | (F.col("n") == 1))
     edges = found.select("word", _edge(F.col("start") + F.col("n") - 1, F.col("start") - 1, F.coalesce("row", F.lit(none))).alias("edge"))
-    grouped = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
-
-    def step(so_far: Column, at: Column) -> Column:
-        here = F.filter("edges", lambda e: _end(e) == at)
-        best = F.array_max(F.transform(here, lambda e: F.struct(
-            (F.get(so_far["score"], _start(e)) + F.get(scores, _row(e))).alias("s"), e.alias("e"))))
-        return F.struct(F.array_append(so_far["score"], best["s"]).alias("score"), F.array_append(so_far["back"], best["e"]).alias("back"))
-
-    first = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(F.lit(0).cast("long")).alias("back"))
-    back = F.aggregate(F.sequence(F.lit(1), F.length("word")), first, step, lambda s: s["back"])
-    folded = grouped.select("word", back.alias("back"))
-
-    def walk(state: Column, _: Column) -> Column:
-        e = F.get(F.col("back"), state["at"])
-        return F.when(state["at"] > 0, F.struct(_start(e).alias("at"), F.array_append(state["path"], e).alias("path"))).otherwise(state)
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    opened = F.transform("edges", lambda e: F.struct(
+        _end(e).alias("end"), _start(e).alias("start"), F.get(scores, _row(e)).alias("own"), e.alias("edge")))
+
+    # Settled positions have their best score and last edge in the arrays; that of the current end is in ``best``.
+    def step(s: Column, e: Column) -> Column:
+        before = F.when(e["start"] == s["end"], s["best"]["score"]).otherwise(F.get(s["score"], e["start"]))
+        found = F.struct((before + e["own"]).alias("score"), e["edge"].alias("edge"))
+        return F.when(e["end"] > s["end"], F.struct(
+            F.array_append(s["score"], s["best"]["score"]).alias("score"), F.array_append(s["back"], s["best"]["edge"]).alias("back"),
+            e["end"].alias("end"), found.alias("best"),
+        )).otherwise(F.struct(
+            s["score"].alias("score"), s["back"].alias("back"), s["end"].alias("end"), F.greatest(found, s["best"]).alias("best")))
+
+    first = F.struct(
+        F.array().cast("array<double>").alias("score"), F.array().cast("array<bigint>").alias("back"), F.lit(0).alias("end"),
+        F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("edge")).alias("best"))
+    back = F.aggregate(opened, first, step, lambda s: F.array_append(s["back"], s["best"]["edge"]))
+    folded = grouped.select("word", F.reverse(back).alias("back"))
+
+    def walk(s: Column, e: Column) -> Column:
+        here = (s["at"] > 0) & (_end(e) == s["at"])
+        return F.when(here, F.struct(_start(e).alias("at"), F.array_append(s["path"], e).alias("path"))).otherwise(s)
 
     last = F.struct(F.length("word").alias("at"), F.array().cast("array<bigint>").alias("path"))
-    path = F.reverse(F.aggregate(F.sequence(F.lit(1), F.length("word")), last, walk, lambda s: s["path"]))
+    path = F.reverse(F.aggregate("back", last, walk, lambda s: s["path"]))
     rows = F.transform(path, lambda e: F.when(_row(e) == none, -1 - F.ascii(F.substring("word", _start(e) + 1, F.lit(1)))).otherwise(_row(e)))
     return folded.select("word", rows.alias("rows"))
 
@@ -191,81 +207,208 @@ class Search:
         return path[::-1]
 
 
-def _different_units(batches):
-    """(block, unit) of the units of up to ``UNIT`` characters, each once per block and batch."""
+class _Blocks:
+    """Numbers the blocks of the partitions: a row's block hangs on the bytes of text before it, not on Arrow's batches."""
+
+    def __init__(self, rows: DataFrame, block_bytes: int):
+        sizes = rows.groupBy("part").agg(F.sum(F.coalesce(F.octet_length("row.text"), F.lit(0))).alias("size")).collect()
+        counts = {r.part: r.size // block_bytes + 1 for r in sizes}
+        self.first, self.n, self.block_bytes = {}, 0, block_bytes
+        for part in sorted(counts):
+            self.first[part] = self.n
+            self.n += counts[part]
+
+    def cut(self, batches):
+        """(block, rows): the batches in slices of one block each, and of bounded bytes."""
+        done = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = self.first[batch.column("part")[0].as_py()]
+            size = np.array(pa.compute.fill_null(pa.compute.binary_length(of(batch, "row.text").cast(pa.binary())), 0), np.int64)
+            before = done + np.cumsum(size) - size
+            done += int(size.sum())
+            block = before // self.block_bytes
+            for begin, stop in zip(starts := [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()], [*starts[1:], len(block)]):
+                for part in pieces(batch.slice(begin, stop - begin), "row.text"):
+                    yield first + int(block[begin]), part
+
+
+def _different_units(blocks: _Blocks):
+    """(block, word): the units of up to ``UNIT`` characters, each once per block."""
+
+    def found(block, words, units_of):
+        units_of.update(u for w in words for u in _UNITS.findall(MARK + w))
+        own = [u for u in units_of if len(u) <= UNIT]
+        for a in range(0, len(own), 100_000):
+            some = own[a:a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), pa.array(some, pa.string())], ["block", "word"])
+
+    def run(batches):
+        current, words, others = None, set(), set()
+        for block, part in blocks.cut(batches):
+            if block != current:
+                yield from found(current, words, others)
+                current, words, others = block, set(), set()
+            for text in of(part, "row.text").to_pylist():
+                if text and (own := words_of(text)) is not None:
+                    words.update(own)
+                elif text:
+                    others.update(units(text))
+        yield from found(current, words, others)
+
+    return run
+
+
+def _row_batches(blocks: _Blocks):
+    """(block, kind 1, data): whole rows as compressed Arrow streams."""
+    import zstandard
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for block, part in blocks.cut(batches):
+            sink = pa.BufferOutputStream()
+            part = part.select(["row"])
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(part)
+            data = squeeze(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([1], pa.int32()), pa.array([data], pa.binary())], ["block", "kind", "data"])
+
+    return run
+
+
+def _path_batches(batches):
+    """(block, kind 0, data): the units of a block in this partition with their paths, packed together."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    held, count = [], 0
+
+    def packed():
+        table = pa.Table.from_batches(held).combine_chunks()
+        block = table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        table, block = table.take(order), block[order]
+        for begin, stop in zip(starts := [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()], [*starts[1:], len(block)]):
+            some = table.slice(begin, stop - begin)
+            words = [w.encode() for w in some.column("word").to_pylist()]
+            lists = some.column("rows").combine_chunks()
+            sizes = np.diff(np.asarray(lists.offsets))
+            data = b"".join([
+                np.int32(len(words)).tobytes(), np.array([len(w) for w in words], np.int32).tobytes(), sizes.astype(np.int32).tobytes(),
+                lists.flatten().to_numpy().astype(np.int32).tobytes(), *words])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block[begin]], pa.int32()), pa.array([0], pa.int32()), pa.array([squeeze(data)], pa.binary())], ["block", "kind", "data"])
+
     for batch in batches:
-        words: dict[int, set] = {}
-        found: dict[int, set] = {}
-        for block, text in zip(batch.column("block").to_pylist(), batch.column("row").field("text").to_pylist()):
-            if text and (own := words_of(text)) is not None:
-                words.setdefault(block, set()).update(own)
-            elif text:
-                found.setdefault(block, set()).update(units(text))
-        for block, own in words.items():
-            found.setdefault(block, set()).update(u for w in own for u in _UNITS.findall(MARK + w))
-        for block, own in found.items():
-            own = {u for u in own if len(u) <= UNIT}
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["block", "word"])
+        held.append(batch)
+        count += batch.num_rows
+        if count > 1 << 19:
+            yield from packed()
+            held, count = [], 0
+    if count:
+        yield from packed()
+
+
+class _Dictionary:
+    """The units of a block with their ids, as bytes; and the words that single spaces part, put together at first use."""
+
+    def __init__(self, vocabulary: Vocabulary, opened):
+        self.ids = np.array([i for _, i, _ in vocabulary.rows], np.int32)
+        self.byte_ids, self.opened = vocabulary.byte_ids, opened
+        #: A unit of one mark and what follows is a word of its own, listed without the mark.
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def bytes_of(self, path) -> bytes:
+        own = [i for r in path for i in ([self.ids[r]] if r >= 0 else [self.byte_ids[b] for b in chr(-1 - r).encode()])]
+        return np.array(own, np.int32).tobytes()
+
+    def load(self, data: bytes) -> None:
+        n = int(np.frombuffer(data, np.int32, 1)[0])
+        lengths, sizes = np.frombuffer(data, np.int32, 2 * n, 4).reshape(2, n)
+        rows = np.frombuffer(data, np.int32, int(sizes.sum()), 4 + 8 * n)
+        ends = np.cumsum(sizes).tolist()
+        known = self.ids[np.maximum(rows, 0)].tobytes()
+        odd = np.add.reduceat(rows < 0, np.cumsum(sizes) - sizes).tolist()
+        at = 4 + 8 * n + 4 * len(rows)
+        begin = 0
+        for length, end, missing in zip(lengths.tolist(), ends, odd):
+            word = data[at:at + length].decode()
+            at += length
+            own = self.bytes_of(rows[begin:end].tolist()) if missing else known[4 * begin:4 * end]
+            begin = end
+            if word[0] == MARK and len(word) > 1 and word[1] != MARK:
+                self.words[word[1:]] = own
+            else:
+                self.others[word] = own
+
+    def unit(self, unit: str) -> bytes:
+        own = self.words.get(unit[1:]) if unit[0] == MARK else None
+        if own is None and (own := self.others.get(unit)) is None:
+            if len(unit) <= UNIT:
+                raise ValueError("the rows of a block are not those its units came from: the input gave other rows when read again")
+            self.others[unit] = own = self.bytes_of(self.opened()(unit))
+        return own
+
+    def word(self, word: str) -> bytes:
+        own = self.words.get(word)
+        if own is None:
+            self.words[word] = own = b"".join(map(self.unit, _UNITS.findall(MARK + word)))
+        return own
+
+    def text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        own = words_of(text)
+        return b"".join(map(self.unit, units(text)) if own is None else map(self.word, own))
+
+
+def _put_together(vocabulary: Vocabulary):
+    """Each block's paths come first; then its rows get their ids, batch by batch."""
+    import zstandard
+
+    def run(batches):
+        open_ = zstandard.ZstdDecompressor().decompress
+        search: list[Search] = []
+
+        def opened() -> Search:
+            return search[0] if search else search.append(Search(vocabulary)) or search[0]
+
+        current, known = None, None
+        for batch in batches:
+            for block, kind, data in zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
+                if block != current:
+                    current, known = block, _Dictionary(vocabulary, opened)
+                data = open_(data.as_py())
+                if kind == 0:
+                    known.load(data)
+                    continue
+                rows = pa.ipc.open_stream(data).read_next_batch()
+                for a in range(0, rows.num_rows, 256):
+                    some = rows.slice(a, 256)
+                    out = [known.text(x) for x in of(some, "row.text").to_pylist()]
+                    flat = pa.array(np.frombuffer(b"".join(out), np.int32), pa.int32())
+                    starts = offsets([len(x) // 4 for x in out]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([some.column("row"), pa.ListArray.from_arrays(starts, flat)], ["row", "ids"])
+
+    return run
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every row of ``docs`` (with ``text``) as ``row``, with its ``ids``."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    rows = rows.repartition(blocks, "block")
-    had = rows.mapInArrow(_different_units, "block int, word string").repartition("word")
+    rows = with_row(docs).withColumn("part", F.spark_partition_id())
+    blocks = _Blocks(rows, block_bytes)
+    texts = rows.select(F.struct("row.text").alias("row"), "part")
+    had = texts.mapInArrow(_different_units(blocks), "block int, word string").repartition("word")
     # The least block is not needed; with it, this branch reads the same shuffle as the one below.
     words = had.groupBy("word").agg(F.min("block").alias("block"))
     paths = had.join(lattice(words.where(F.col("block") >= 0), vocabulary), "word").select("block", "word", "rows")
-    texts = rows.select(F.col("block").alias("of"), "row")
-    ids = [i for _, i, _ in vocabulary.rows]
-    byte_ids = vocabulary.byte_ids
-
-    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        class Units(dict):
-            """The ids of a unit; of a long one, put together at its first use."""
-
-            def add(self, unit, path):
-                own = [i for r in path for i in ([ids[r]] if r >= 0 else [byte_ids[b] for b in chr(-1 - r).encode()])]
-                self[unit] = out = np.array(own, np.int32).tobytes()
-                return out
-
-            def __missing__(self, unit):
-                if len(unit) <= UNIT:
-                    raise KeyError(unit)
-                return self.add(unit, (self.search or self.opened())(unit))
-
-            search = None
-
-            def opened(self):
-                self.search = Search(vocabulary)
-                return self.search
-
-        known = Units()
-        for word, path in zip(right.column("word").to_pylist(), right.column("rows").to_pylist()):
-            known.add(word, path)
-
-        class Words(dict):
-            """The ids of a word after a space, put together at its first use."""
-
-            def __missing__(self, word):
-                self[word] = out = b"".join(map(known.__getitem__, _UNITS.findall(MARK + word)))
-                return out
-
-        cached, rows, found = Words(), left.column("row").combine_chunks(), []
-        for a in range(0, left.num_rows, 256):
-            out = []
-            for text in rows.slice(a, 256).field("text").to_pylist():
-                own = words_of(text) if text else []
-                out.append(b"".join(map(known.__getitem__, units(text)) if own is None else map(cached.__getitem__, own)))
-            flat = pa.array(np.frombuffer(b"".join(out), np.int32), pa.int32())
-            found.append(pa.ListArray.from_arrays(np.cumsum([0] + [len(x) // 4 for x in out]).astype(np.int32), flat))
-        return pa.table({"row": rows, "ids": pa.chunked_array(found, pa.list_(pa.int32()))})
-
+    packed = paths.mapInArrow(_path_batches, "block int, kind int, data binary").unionByName(
+        rows.mapInArrow(_row_batches(blocks), "block int, kind int, data binary"))
     shape = rows.select("row", F.array().cast("array<int>").alias("ids")).schema
-    return texts.groupBy("of").cogroup(paths.groupBy("block")).applyInArrow(put_together, shape)
+    met = packed.repartitionById(max(1, blocks.n), "block").sortWithinPartitions("block", "kind")
+    return met.mapInArrow(_put_together(vocabulary), shape)
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
