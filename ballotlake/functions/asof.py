@@ -28,7 +28,8 @@ class AsOf:
     """A block number, a unix second, or now.
 
     The value may be a number or a Column (for instance a scalar subquery).
-    A NULL value keeps nothing, as a NULL argument gives no rows.
+    A NULL value keeps nothing, as a NULL argument gives no rows.  Set-form
+    operators also take a DataFrame, whose first column holds many of them.
     """
 
     kind: str
@@ -38,6 +39,10 @@ class AsOf:
     def is_now(self) -> bool:
         return self.kind == "now"
 
+    @property
+    def many(self) -> bool:
+        return isinstance(self.value, DataFrame)
+
     def keeps(self, number: str = "block_number", ts: str = "block_ts") -> Column:
         if self.kind == "block":
             limit = self.value if isinstance(self.value, Column) else F.lit(self.value).cast("bigint")
@@ -50,11 +55,11 @@ class AsOf:
 NOW = AsOf("now")
 
 
-def block(number: int | Column | None) -> AsOf:
+def block(number: int | Column | DataFrame | None) -> AsOf:
     return AsOf("block", number)
 
 
-def unix(seconds: int | Column | None) -> AsOf:
+def unix(seconds: int | Column | DataFrame | None) -> AsOf:
     return AsOf("unix", seconds)
 
 

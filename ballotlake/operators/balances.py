@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,20 @@ from ballotlake.model import AMOUNT, RESULT, GovTables
 from ballotlake.sources.located import at_block
 
 
+def transfer_sides() -> Column:
+    """Address, signed change and whether it was received, for both sides of a transfer."""
+    return F.inline(F.array(
+        F.struct(
+            F.col("receiver").alias("address"), F.col("amount").alias("change"),
+            F.lit(True).alias("received"),
+        ),
+        F.struct(
+            F.col("sender").alias("address"), (-F.col("amount")).alias("change"),
+            F.lit(False).alias("received"),
+        ),
+    ))
+
+
 def _wallet_moves(t: GovTables, as_of: AsOf) -> DataFrame:
     """Both sides of every transfer, from one scan.
 
@@ -21,17 +37,7 @@ def _wallet_moves(t: GovTables, as_of: AsOf) -> DataFrame:
     if not as_of.is_now:
         last = t.block.where(as_of.keeps("number", "block_ts")).agg(F.max("id"))
         transfers = transfers.where(F.col("block_id") <= last.scalar())
-    sides = F.array(
-        F.struct(
-            F.col("receiver").alias("address"), F.col("amount").alias("change"),
-            F.lit(True).alias("received"),
-        ),
-        F.struct(
-            F.col("sender").alias("address"), (-F.col("amount")).alias("change"),
-            F.lit(False).alias("received"),
-        ),
-    )
-    return transfers.select(F.inline(sides))
+    return transfers.select(transfer_sides())
 
 
 def _lock_moves(t: GovTables, as_of: AsOf) -> DataFrame:
@@ -43,6 +49,9 @@ def _lock_moves(t: GovTables, as_of: AsOf) -> DataFrame:
 
 def token_holders(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
     """Received minus sent, for every address that ever received."""
+    if as_of.many:
+        from ballotlake.operators import many_cuts
+        return many_cuts.token_holders(t, as_of)
     return (
         _wallet_moves(t, as_of).groupBy("address")
         .agg(F.sum("change").alias("balance"), F.bool_or("received").alias("received"))
@@ -52,6 +61,9 @@ def token_holders(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
 
 def locked_balances(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
     """Sum of signed locks per caller."""
+    if as_of.many:
+        from ballotlake.operators import many_cuts
+        return many_cuts.locked_balances(t, as_of)
     return _lock_moves(t, as_of).groupBy("address").agg(
         F.sum("change").cast(RESULT).alias("balance")
     )
@@ -92,8 +104,8 @@ def wallet_of() -> Column:
     return F.when(F.col("holder"), F.col("moved"))
 
 
-def own_balances(accounts: DataFrame) -> DataFrame:
-    """Wallet plus locked per row of a ledger, with the address the balance is listed under.
+def own_balances(accounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Wallet plus locked per row of a ledger, with the address the balance is listed under; ``by`` is kept.
 
     An address that only locked is listed under NULL: the listing takes its
     address from the holders' side.
@@ -101,12 +113,15 @@ def own_balances(accounts: DataFrame) -> DataFrame:
     return accounts.where(F.col("holder") | F.col("locked").isNotNull()).select(
         F.when(F.col("holder"), F.col("address")).alias("address"),
         (or_zero(wallet_of()) + or_zero(F.col("locked"))).cast(RESULT).alias("balance"),
-        F.col("address").alias("account"),
+        F.col("address").alias("account"), *by,
     )
 
 
 def combined_balances(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
     """Wallet plus locked balance; locked-only addresses appear under NULL."""
+    if as_of.many:
+        from ballotlake.operators import many_cuts
+        return many_cuts.combined_balances(t, as_of)
     return own_balances(ledger(t, as_of)).select("address", "balance")
 
 

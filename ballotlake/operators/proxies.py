@@ -37,6 +37,9 @@ def active_links(t: GovTables, as_of: AsOf) -> DataFrame:
 
 def active_proxies(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
     """Links that no later link of either wallet replaced, as of a block or time."""
+    if as_of.many:
+        from ballotlake.operators import many_cuts
+        return many_cuts.active_proxies(t, as_of)
     return active_links(t, as_of).select("hot", "cold", "proxy")
 
 

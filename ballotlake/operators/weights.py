@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -20,11 +21,12 @@ from ballotlake.operators.proxies import links_for, parties
 # --- set form -------------------------------------------------------------------------------
 
 
-def _proxy_weights(links: DataFrame, accounts: DataFrame) -> DataFrame:
+def weigh_links(links: DataFrame, accounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Wallet and locked balance of hot and of cold, and the locked balance of the contract.
 
     A wallet that is both hot and cold counts twice.  The members of each link
     are listed as rows, so one join with the ledger serves all five terms.
+    ``by`` names further columns that links and accounts must agree in.
     """
     members = F.inline(F.array(*[
         F.struct(F.col(member).alias("address"), F.lit(wallet).alias("with_wallet"))
@@ -32,30 +34,36 @@ def _proxy_weights(links: DataFrame, accounts: DataFrame) -> DataFrame:
     ]))
     held = or_zero(F.when(F.col("with_wallet"), wallet_of()))
     return (
-        links.select("id", "hot", "cold", "proxy", members)
-        .join(accounts, "address", "left")
+        links.select("id", "hot", "cold", "proxy", *by, members)
+        .join(accounts, ["address", *by], "left")
         .withColumn("part", (held + or_zero(F.col("locked"))).cast(AMOUNT))
-        .groupBy("id", "hot", "cold", "proxy")
+        .groupBy("id", "hot", "cold", "proxy", *by)
         .agg(F.sum("part").alias("total_weight"))
     )
 
 
 def proxy_weights(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
     """Weight behind every proxy that counts at a point in time."""
-    weights = _proxy_weights(links_for(t, as_of), ledger(t, as_of))
+    if as_of.many:
+        from ballotlake.operators import many_cuts
+        return many_cuts.proxy_weights(t, as_of)
+    weights = weigh_links(links_for(t, as_of), ledger(t, as_of))
     return weights.select("hot", "cold", "proxy", F.col("total_weight").cast(RESULT).alias("total_weight"))
 
 
-def _party_weights(weights: DataFrame) -> DataFrame:
+def party_rows(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return weights.select(
         F.explode(F.array("hot", "cold")).alias("address"),
-        F.col("total_weight").cast(RESULT).alias("total_weight"),
+        F.col("total_weight").cast(RESULT).alias("total_weight"), *by,
     ).distinct()
 
 
 def party_weights(t: GovTables, as_of: AsOf = NOW) -> DataFrame:
     """Proxy weight listed under the hot and under the cold wallet, equal rows once."""
-    return _party_weights(_proxy_weights(links_for(t, as_of), ledger(t, as_of)))
+    if as_of.many:
+        from ballotlake.operators import many_cuts
+        return many_cuts.party_weights(t, as_of)
+    return party_rows(weigh_links(links_for(t, as_of), ledger(t, as_of)))
 
 
 def voting_weights(t: GovTables, as_of: AsOf = NOW, addresses=EVERY) -> DataFrame:
@@ -66,6 +74,9 @@ def voting_weights(t: GovTables, as_of: AsOf = NOW, addresses=EVERY) -> DataFram
     (NULL address) match nothing; they are joined under a key of their own, so
     that they stay spread over the tasks.
     """
+    if as_of.many:
+        from ballotlake.operators import many_cuts
+        return many_cuts.voting_weights(t, as_of, addresses)
     links, among = links_for(t, as_of), None
     if addresses is not EVERY:
         # Only what the wanted addresses and the members of their links hold is added up.
@@ -75,18 +86,22 @@ def voting_weights(t: GovTables, as_of: AsOf = NOW, addresses=EVERY) -> DataFram
         links = links.join(own, "id", "left_semi")
         members = links.select(F.explode(F.array("hot", "cold", "proxy")).alias("address"))
         among = wanted.union(members).distinct()
-    accounts = ledger(t, as_of, among)
-    by_proxy = _party_weights(_proxy_weights(links, accounts)).select(
-        "address", F.col("total_weight").alias("weight")
+    return only(set_form_weights(links, ledger(t, as_of, among)), "address", addresses)
+
+
+def set_form_weights(links: DataFrame, accounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The weights of all addresses, from the links that count and a ledger."""
+    by_proxy = party_rows(weigh_links(links, accounts, by), by).select(
+        "address", F.col("total_weight").alias("weight"), *by
     )
-    taken = links.select(F.explode(parties()).alias("_key")).distinct()
+    taken = links.select(F.explode(parties()).alias("_key"), *by).distinct()
     unmatched = F.concat(F.lit("\x00"), "account")
     by_balance = (
-        own_balances(accounts).withColumn("_key", F.coalesce("address", unmatched))
-        .join(taken, "_key", "left_anti")
-        .select("address", F.col("balance").alias("weight"))
+        own_balances(accounts, by).withColumn("_key", F.coalesce("address", unmatched))
+        .join(taken, ["_key", *by], "left_anti")
+        .select("address", F.col("balance").alias("weight"), *by)
     )
-    return only(by_proxy.unionByName(by_balance), "address", addresses)
+    return by_proxy.unionByName(by_balance)
 
 
 def _wanted(t: GovTables, addresses) -> DataFrame:

@@ -237,6 +237,49 @@ def _weights(when: str) -> dict[str, str]:
   SELECT address, balance FROM combined c WHERE NOT EXISTS (SELECT 1 FROM by_party p WHERE p.address = c.address)"""}
 
 
+# --- set form at many times or blocks -------------------------------------------------------
+
+
+def _many(kind: str) -> dict[str, str]:
+    """Every step once more, for each of the asked values ``r.v`` and by nested lookups."""
+    asked = "SELECT DISTINCT CAST(end_date AS BIGINT) AS v FROM poll"
+    if kind == "blocks":
+        asked = (f"SELECT DISTINCT (SELECT number FROM block WHERE block_ts <= {_at('e.v')} ORDER BY block_ts DESC, id DESC LIMIT 1) AS v "
+                 f"FROM ({asked}) e")
+    seen = "b.number <= r.v" if kind == "blocks" else f"b.block_ts <= {_at('r.v')}"
+    held = "coalesce((SELECT x.balance FROM {} x WHERE x.v = l.v AND x.address = l.{}), 0)"
+    terms = [("m_holders", "hot"), ("m_holders", "cold"), ("m_locked", "cold"), ("m_locked", "hot"), ("m_locked", "proxy")]
+    return {
+        "asked": f"SELECT v FROM ({asked}) a WHERE v IS NOT NULL",
+        "reach": f"SELECT r.v, (SELECT max(b.id) FROM block b WHERE {seen}) AS last FROM asked r",
+        "m_moves": """
+  SELECT r.v, unnest([t.receiver, t.sender]) AS who, unnest([t.amount, -t.amount]) AS change, unnest(['in', 'out']) AS way
+  FROM transfer t JOIN reach r ON t.block_id <= r.last""",
+        "m_holders": "SELECT v, who AS address, sum(change) AS balance FROM m_moves GROUP BY v, who HAVING bool_or(way = 'in')",
+        "m_locked": f"""
+  SELECT r.v, l.immediate_caller AS address, sum(l.lock_amt) AS balance FROM asked r, locks l, block b
+  WHERE b.id = l.block_id AND {seen} GROUP BY r.v, l.immediate_caller""",
+        "m_combined": """
+  SELECT v, CASE WHEN bool_or(way = 'in') THEN who END AS address,
+         sum(CASE WHEN way = 'lock' THEN change ELSE 0 END)
+           + CASE WHEN bool_or(way = 'in') THEN sum(CASE WHEN way = 'lock' THEN 0 ELSE change END) ELSE 0 END AS balance
+  FROM (SELECT v, who, change, way FROM m_moves UNION ALL SELECT v, address, balance, 'lock' FROM m_locked) m
+  GROUP BY v, who HAVING bool_or(way <> 'out')""",
+        "m_seen": f"SELECT r.v, p.*, p.vote_proxy AS proxy FROM asked r, proxy p, block b WHERE b.id = p.block_id AND {seen}",
+        "m_links": """
+  SELECT s.v, s.id, s.hot, s.cold, s.proxy FROM m_seen s
+  WHERE NOT EXISTS (SELECT 1 FROM m_seen n WHERE n.v = s.v AND n.block_id > s.block_id
+                    AND (n.hot = s.hot OR n.cold = s.cold OR n.hot = s.cold OR n.cold = s.hot))""",
+        "m_weighed": f"SELECT l.v, l.hot, l.cold, l.proxy, {' + '.join(held.format(*term) for term in terms)} AS total_weight FROM m_links l",
+        "m_party": "SELECT DISTINCT v, unnest([hot, cold]) AS address, total_weight FROM m_weighed",
+        "m_weights": """
+  SELECT v, address, total_weight AS weight FROM m_party
+  UNION ALL
+  SELECT v, address, balance FROM m_combined c
+  WHERE NOT EXISTS (SELECT 1 FROM m_party p WHERE p.v = c.v AND p.address = c.address)""",
+    }
+
+
 # --- row form: canonical voters and their weight --------------------------------------------
 
 
@@ -687,6 +730,17 @@ SELECT 1 AS chain, substr(address, 4) AS route, id, address, topics, data, log_i
 WHERE address <> '0xcerror'
 UNION ALL SELECT 2, substr(address, 4), id, address, topics, data, log_index, tx_id, block_id FROM log2
 WHERE address = '0xcview'""")
+    for kind, value in (("times", "unix"), ("blocks", "number")):
+        for name, table, columns in (
+            ("token_holders", "m_holders", "address, " + _dec("balance", "balance")),
+            ("locked_balances", "m_locked", "address, " + _dec("balance", "balance")),
+            ("combined_balances", "m_combined", "address, " + _dec("balance", "balance")),
+            ("active_proxies", "m_links", "hot, cold, proxy"),
+            ("proxy_weights", "m_weighed", "hot, cold, proxy, " + _dec("total_weight", "total_weight")),
+            ("party_weights", "m_party", "address, " + _dec("total_weight", "total_weight")),
+            ("voting_weights", "m_weights", "address, " + _dec("weight", "weight")),
+        ):
+            out[f"{name}_many_{kind}"] = _sql(_many(kind), f"SELECT v AS {value}, {columns} FROM {table}")
     out["locate_facts"] = _sql({}, """
 SELECT v.id, v.voter, v.poll_id, v.option_id, b.number AS block_number, b.block_ts, t.hash AS tx_hash
 FROM vote v LEFT JOIN block b ON b.id = v.block_id LEFT JOIN tx t ON t.id = v.tx_id""")

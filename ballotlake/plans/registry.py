@@ -64,6 +64,14 @@ def _at_poll_ends(t: GovTables) -> DataFrame:
     return proxies.canonical_voter(t, asked, PER_ROW)
 
 
+def _poll_ends(t: GovTables):
+    return unix(t.poll.select(F.col("end_date").cast("bigint")))
+
+
+def _blocks_of_poll_ends(t: GovTables):
+    return block(blocks.blocks_at(t, tally.poll_end_requests(t)).select("number"))
+
+
 def _balances_at_votes(t: GovTables) -> DataFrame:
     """The wallet balance of each voter at the block of each of its votes."""
     history = t.wallet_balance.select("address", "block_id", "amount", "id")
@@ -210,6 +218,16 @@ def _over_tables() -> dict[str, Callable[[GovTables], DataFrame]]:
         q[f"voting_weights_{when}"] = lambda t, at=at: weights.voting_weights(t, at(t))
         q[f"voting_weight_of_{when}"] = lambda t, at=at: weights.voting_weights(t, at(t), VOTER)
 
+    # The same at many times or blocks at once: every poll's end, and the last block by then.
+    for name, operator in (
+        ("token_holders", balances.token_holders), ("locked_balances", balances.locked_balances),
+        ("combined_balances", balances.combined_balances), ("active_proxies", proxies.active_proxies),
+        ("proxy_weights", weights.proxy_weights), ("party_weights", weights.party_weights),
+        ("voting_weights", weights.voting_weights),
+    ):
+        for kind, asked in (("times", _poll_ends), ("blocks", _blocks_of_poll_ends)):
+            q[f"{name}_many_{kind}"] = lambda t, operator=operator, asked=asked: operator(t, asked(t))
+
     # Row-form weights.
     q["canonical_weight"] = lambda t: _amount(weights.canonical_weight(t, _accounts(t), _cut(t)))
     q["canonical_weight_legacy"] = lambda t: _amount(weights.canonical_weight(t, _accounts(t), _cut(t), True))
