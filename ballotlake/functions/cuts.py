@@ -40,10 +40,13 @@ def _below(sorted_values: Column, limit: Column) -> Column:
     return F.when(size <= 16, F.size(F.filter(sorted_values, lambda x: x < limit))).otherwise(bisected)
 
 
-def mark_first_cut(facts: DataFrame, position: str, cuts: DataFrame, upto: str = "value", bits: int = 16) -> DataFrame:
+def mark_first_cut(
+    facts: DataFrame, position: str, cuts: DataFrame, least: int | None, upto: str = "value", bits: int = 16,
+) -> DataFrame:
     """``facts`` with the number of the first cut whose ``upto`` is not below their position; later facts are dropped.
 
-    ``upto`` does not fall from one cut to the next; cuts where it is NULL come first and keep nothing.
+    ``upto`` does not fall from one cut to the next; cuts where it is NULL come first and keep nothing.  ``least`` is
+    its smallest value.
     """
     known = cuts.where(F.col(upto).isNotNull()).select(F.col(upto).cast("bigint").alias("upto"), CUT)
     zone = F.shiftright("upto", bits)
@@ -55,17 +58,18 @@ def mark_first_cut(facts: DataFrame, position: str, cuts: DataFrame, upto: str =
     zones = reached.select("*", F.explode(F.sequence("_from", "_at")).alias(_ZONE)).select(
         _ZONE, F.when(F.col(_ZONE) == F.col("_at"), F.col("_cuts")).otherwise(F.array().cast("array<bigint>")).alias("_cuts"),
         "_base", "_last")
-    first = known.agg(F.min(zone)).scalar()
-    placed = facts.withColumn(_ZONE, F.greatest(F.shiftright(F.col(position).cast("bigint"), bits), first))
+    # All positions before the first cut count for it, whatever their zone.
+    place = F.greatest(F.col(position).cast("bigint"), F.lit(least).cast("bigint"))
+    placed = facts.withColumn(_ZONE, F.shiftright(place, bits))
     marked = placed.join(zones, _ZONE).withColumn(
         CUT, F.col("_base") + _below(F.col("_cuts"), F.col(position).cast("bigint")))
     return marked.where(F.col(CUT) < F.col("_last")).select(*facts.columns, CUT)
 
 
-def until_next(rows: DataFrame, keys: list[str], cuts: DataFrame) -> DataFrame:
+def until_next(rows: DataFrame, keys: list[str], n_cuts: int) -> DataFrame:
     """``rows`` (one per key and cut) with ``_until``: the last cut before the key's next row."""
     following = F.lead(CUT).over(Window.partitionBy(*keys).orderBy(CUT))
-    return rows.withColumn("_until", F.coalesce(following, cuts.agg(F.count("*").cast("int")).scalar()) - 1)
+    return rows.withColumn("_until", F.coalesce(following, F.lit(n_cuts)) - 1)
 
 
 def at_every_cut(rows: DataFrame) -> DataFrame:

@@ -203,8 +203,8 @@ def known_at(
 
 
 def found_at(
-    rows: DataFrame, history: DataFrame, key: str, folds: Sequence[Fold], cut
+    rows: DataFrame, history: DataFrame, key: str, folds: Sequence[Fold], cut, all_asked: bool = False
 ) -> DataFrame:
     """``rows`` joined with what is known of their ``key`` at the cut; others are dropped."""
     place = [key, "cut_id"] if cut is PER_ROW else [key]
-    return rows.join(known_at(rows, history, key, folds, cut), place)
+    return rows.join(known_at(rows, history, key, folds, cut, all_asked), place)

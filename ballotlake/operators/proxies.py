@@ -86,8 +86,11 @@ def canonical_voter(t: GovTables, addresses: DataFrame, cut=None) -> DataFrame:
     history = t.proxy.select(F.explode(parties()).alias("address"), "id", "block_id", link)
     newest = [latest("link", "link", "id")]
 
-    own = known_at(addresses, history, "address", newest, cut)
-    if cut is PER_ROW:
+    shared = cut is not PER_ROW
+    # With one cut for all, every wallet's newest link comes from one small aggregate, used for both wallets of a link,
+    # and ``addresses`` takes part once.
+    own = known_at(addresses, history, "address", newest, cut, all_asked=shared)
+    if not shared:
         own = settle(own, "links")
     if cut is not None:
         other = F.when(F.col("address") == F.col("link.cold"), F.col("link.hot")).otherwise(
@@ -98,7 +101,7 @@ def canonical_voter(t: GovTables, addresses: DataFrame, cut=None) -> DataFrame:
             other.alias("address"),
         )
         own = (
-            found_at(asked, history, "address", newest, cut)
+            found_at(asked, history, "address", newest, cut, all_asked=shared)
             .where(F.col("link.block_id") <= F.col("own.block_id"))
             .select(F.col("asker").alias("address"), *place[1:], F.col("own").alias("link"))
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballotlake.functions.asof import EVERY, NOW, AsOf, as_limit, many
@@ -26,6 +26,12 @@ def cut_id(t: GovTables, as_of: AsOf) -> DataFrame:
     return t.block.agg(F.max(F.struct("block_ts", "id")).alias("last")).select("last.id")
 
 
+def _value(t: GovTables, limit: Column) -> Column:
+    """A limit worked out now: one number instead of the same subquery in every branch, and scans know it when planned."""
+    found = t.block.sparkSession.range(1).select(limit.cast("bigint").alias("limit")).first()
+    return F.lit(found[0]).cast("bigint")
+
+
 def weighted_votes(t: GovTables, poll_id, as_of: AsOf | None = None, cut=None, legacy: bool = False) -> DataFrame:
     """The canonical votes of a poll with their weight, as of a block, a time or a block id.
 
@@ -37,12 +43,13 @@ def weighted_votes(t: GovTables, poll_id, as_of: AsOf | None = None, cut=None, l
     ``legacy`` is the rule of old polls: first chain only, wallet links looked
     up without a cut, and the legacy weight; it has no origin columns.
     """
-    limit = as_limit(cut_id(t, as_of) if cut is None else cut)
+    limit = _value(t, as_limit(cut_id(t, as_of) if cut is None else cut))
     if legacy:
         votes = canonical_votes(t, poll_id, None, chains=(1,))
     else:
         votes = canonical_votes(t, poll_id, limit)
     votes = votes.where(F.col("block_id") <= limit).withColumnRenamed("voter", "address")
+    votes = settle(votes, "canonical_votes")
     voted = canonical_weight(t, votes, limit, legacy).withColumnRenamed("address", "voter")
     columns = _VOTE if legacy else _VOTE + _ORIGIN
     return voted.select(*(["poll_id", *columns] if many(poll_id) else columns))

@@ -147,8 +147,8 @@ def _weigh(t: GovTables, voters: DataFrame, found: DataFrame, members: Column, c
     """
     place = ["address", "cut_id"] if cut is PER_ROW else ["address"]
     asked = found.select(F.struct(*place).alias("voter"), *place[1:], F.inline(members)).withColumnRenamed("member", "address")
-    if cut is PER_ROW:
-        asked = settle(asked, "members")
+    # Asked twice below: for whose balances to read, and for whom they count.
+    asked = settle(asked, "members")
     held = known_at(asked, _balance_history(t), "address", _HELD, cut)
     part = (
         or_zero(F.when(F.col("with_wallet"), F.col("wallet")))
@@ -180,7 +180,7 @@ def canonical_weight(t: GovTables, voters: DataFrame, cut, legacy: bool = False)
         F.col("vote_proxy").alias("address"), "block_id", "id", F.struct("hot", "cold").alias("pair")
     )
     places = voters.select(*place).distinct()
-    pairs = known_at(places, contracts, "address", [latest("pair", "pair", "id")], cut)
+    pairs = known_at(places, contracts, "address", [latest("pair", "pair", "id")], cut, cut is not PER_ROW)
     own = F.array(_member(F.col("address")))
     if legacy:
         linked = F.array(_member(F.col("pair.hot"), locked=False), _member(F.col("pair.cold"), locked=False))
@@ -201,7 +201,7 @@ def party_weight(t: GovTables, wallets: DataFrame, cut) -> DataFrame:
     link = F.struct("hot", "cold", "vote_proxy").alias("link")
     history = t.proxy.select(F.explode(parties()).alias("address"), "id", "block_id", link)
     places = wallets.select(*place).distinct()
-    links = known_at(places, history, "address", [latest("link", "link", "id")], cut)
+    links = known_at(places, history, "address", [latest("link", "link", "id")], cut, cut is not PER_ROW)
     partner = F.when(F.col("link.cold") == F.col("address"), F.col("link.hot")).otherwise(
         F.col("link.cold")
     )
