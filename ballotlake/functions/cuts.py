@@ -24,7 +24,7 @@ def numbered(requests: DataFrame) -> DataFrame:
     return asked.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias(CUT))
 
 
-def _below(sorted_values: Column, limit: Column) -> Column:
+def below(sorted_values: Column, limit: Column) -> Column:
     """How many of the sorted values are below the limit: by looking at all of a few, by bisection in many."""
     size = F.size(sorted_values)
 
@@ -62,7 +62,7 @@ def mark_first_cut(
     place = F.greatest(F.col(position).cast("bigint"), F.lit(least).cast("bigint"))
     placed = facts.withColumn(_ZONE, F.shiftright(place, bits))
     marked = placed.join(zones, _ZONE).withColumn(
-        CUT, F.col("_base") + _below(F.col("_cuts"), F.col(position).cast("bigint")))
+        CUT, F.col("_base") + below(F.col("_cuts"), F.col(position).cast("bigint")))
     return marked.where(F.col(CUT) < F.col("_last")).select(*facts.columns, CUT)
 
 

@@ -51,9 +51,13 @@ def load_copy_text(
     spark: SparkSession, path: str, table: str, columns: list[str] | None = None
 ) -> DataFrame:
     """A table of the model from COPY text files; ``columns`` is the order in the files."""
+    return parse_lines(spark.read.text(path).where(F.col("value") != "\\."), table, columns)
+
+
+def parse_lines(lines: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of the model from the data lines (``value``) of COPY text."""
     columns = columns or SCHEMAS[table].names
     fields = F.split("value", "\t")
-    lines = spark.read.text(path).where(F.col("value") != "\\.")
     values = [
         F.when(fields[i] == "\\N", None).otherwise(_unescape(fields[i])).alias(name)
         for i, name in enumerate(columns)
@@ -64,7 +68,11 @@ def load_copy_text(
     return conform(whole.select(*values), table)
 
 
+def copy_line(values: list[Column]) -> Column:
+    """One line of COPY text."""
+    return F.concat_ws("\t", *[_escape(v.cast("string")) for v in values])
+
+
 def write_copy_text(df: DataFrame, path: str) -> None:
     """COPY text files, one per partition, without the end marker."""
-    values = [_escape(F.col(name).cast("string")) for name in df.columns]
-    df.select(F.concat_ws("\t", *values).alias("value")).write.mode("overwrite").text(path)
+    df.select(copy_line([F.col(name) for name in df.columns]).alias("value")).write.mode("overwrite").text(path)
