@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ballotlake.model import (
     FIRST_CHAIN_FACTS, JOB_STATES, SCHEMAS, SECOND_CHAIN_FACTS, GovTables,
 )
 
 _EVENT_KEY = ("log_index", "tx_id")
+_PARENTS = ("block", "block2", "tx", "tx2")
+# What a line of the report says of its key: a row's own fault, a key, or an id that others may hang on; from 0 on, the
+# check of a row that hangs on the id.
+_ALONE, _KEY, _PARENT = -1, -2, -3
 
 
 def _unique_keys(table: str) -> list[tuple[str, ...]]:
@@ -37,36 +42,61 @@ def _references(table: str) -> list[tuple[str, str]]:
     return []
 
 
-def _fault(df: DataFrame, table: str, fault: str, columns: str) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("table_name"), F.lit(fault).alias("fault"),
-        F.lit(columns).alias("columns"), F.col("bad_rows").cast("bigint").alias("bad_rows"),
-    )
-
-
-def _empty_values(table: str, df: DataFrame) -> DataFrame:
-    """NULLs in columns that must be filled: one pass over the table for all of them."""
-    required = [f.name for f in SCHEMAS[table].fields if not f.nullable and f.name in df.columns]
-    counts = df.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in required])
-    per_column = F.array(*[
-        F.struct(F.lit(name).alias("column"), F.col(name).alias("bad_rows")) for name in required
-    ])
-    return counts.select(F.inline(per_column)).select(
-        F.lit(table).alias("table_name"), F.lit("null").alias("fault"),
-        F.col("column").alias("columns"), "bad_rows",
-    )
+class _Checks:
+    """The checks of some tables, numbered, and what each row hands on for them.
 
+    A row gives one line per key it must not share, one for each thing that is wrong with it alone, one per block or
+    transaction it hangs on, and one if others hang on it.  A line is (space, a, b, s, role): ``space`` is the number of its check, or
+    of the table whose ids are meant, and the rest the key.
+    """
 
-def _surplus(table: str, df: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    groups = df.groupBy(*key).agg(F.count("*").alias("n"))
-    surplus = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("bad_rows"))
-    return _fault(surplus, table, "duplicate", ", ".join(key))
+    def __init__(self, t: GovTables, tables: list[str]):
+        self.t, self.tables = t, tables
+        self.named: list[tuple[str, str, str]] = []
+
+    def number(self, table: str, fault: str, columns: str) -> int:
+        self.named.append((table, fault, columns))
+        return len(self.named) - 1
+
+    @staticmethod
+    def line(space: int, a=None, b=None, s=None, role: int = _ALONE) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            F.lit(space).alias("space"), (none if a is None else a).cast("bigint").alias("a"), (none if b is None else b).cast("bigint").alias("b"),
+            (none if s is None else s).cast("string").alias("s"), F.lit(role).alias("role"))
+
+    def ids_of(self, table: str) -> int:
+        """The space of a table's ids: below all checks."""
+        return -1 - _PARENTS.index(table)
+
+    def own(self, table: str) -> DataFrame:
+        """What is wrong with a row alone, and the keys that it must not share."""
+        df, out = getattr(self.t, table), []
+        for field in SCHEMAS[table].fields:
+            if not field.nullable and field.name in df.columns:
+                out.append(F.when(F.col(field.name).isNull(), self.line(self.number(table, "null", field.name))))
+        for key in _unique_keys(table):
+            if set(key) <= set(df.columns):
+                texts = [c for c in key if df.schema[c].dataType == T.StringType()]
+                numbers = [F.col(c) for c in key if c not in texts]
+                out.append(self.line(self.number(table, "duplicate", ", ".join(key)), *numbers, s=F.col(texts[0]) if texts else None, role=_KEY))
+        if table == "job":
+            wrong = ~F.col("status").isin(*JOB_STATES)
+            out.append(F.when(wrong, self.line(self.number(table, "state", "status"))))
+        return df.select(F.inline(F.array(*out))).where(F.col("space").isNotNull())
 
+    def references(self, table: str) -> list[DataFrame]:
+        """The ids that a table's rows hang on."""
+        df = getattr(self.t, table)
+        out = [self.line(self.ids_of(parent), F.col(column), role=self.number(table, "orphan", column))
+               for column, parent in _references(table) if column in df.columns and parent in self.t]
+        return [df.select(F.inline(F.array(*out))).where(F.col("a").isNotNull()).select("space", "a", "role")] if out else []
 
-def _orphans(table: str, df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    known = parent.select(F.col("id").alias(column))
-    orphans = df.where(F.col(column).isNotNull()).join(known, column, "left_anti")
-    return _fault(orphans.agg(F.count("*").alias("bad_rows")), table, "orphan", column)
+    def parents(self) -> list[DataFrame]:
+        """The ids that may be hung on; of each table that some of ``tables`` need."""
+        needed = sorted({parent for table in self.tables for _, parent in _references(table) if parent in self.t})
+        return [getattr(self.t, p).select(
+            F.lit(self.ids_of(p)).alias("space"), F.col("id").cast("bigint").alias("a"), F.lit(_PARENT).alias("role")) for p in needed]
 
 
 def integrity_report(t: GovTables, tables: list[str] | None = None) -> DataFrame:
@@ -75,23 +105,26 @@ def integrity_report(t: GovTables, tables: list[str] | None = None) -> DataFrame
     Faults: ``null`` in a required column, ``duplicate`` of a unique key (rows
     beyond the first), ``orphan`` without its block or transaction, ``state``
     outside the allowed values.
+
+    Two grouped passes over all tables at once: one for what rows must not share, one for the ids they hang on.  Lines are counted
+    by key before the shuffle, so that a block with very many events is one line by then.
     """
-    parts = []
-    for table in tables or t.names():
-        df = getattr(t, table)
-        parts.append(_empty_values(table, df))
-        parts += [
-            _surplus(table, df, key) for key in _unique_keys(table) if set(key) <= set(df.columns)
-        ]
-        parts += [
-            _orphans(table, df, column, getattr(t, parent))
-            for column, parent in _references(table)
-            if column in df.columns and parent in t
-        ]
-        if table == "job":
-            wrong = df.agg(F.count_if(~F.col("status").isin(*JOB_STATES)).alias("bad_rows"))
-            parts.append(_fault(wrong, table, "state", "status"))
-    return reduce(DataFrame.unionByName, parts)
+    names = tables or t.names()
+    checks = _Checks(t, names)
+    counted = reduce(DataFrame.unionByName, [checks.own(name) for name in names]).groupBy("space", "a", "b", "s", "role").agg(
+        F.count("*").alias("n"))
+    faults = counted.select(F.col("space").alias("check"), (F.col("n") - (F.col("role") == _KEY).cast("int")).alias("n"))
+    if references := [df for name in names for df in checks.references(name)]:
+        met = reduce(DataFrame.unionByName, [*references, *checks.parents()]).groupBy("space", "a", "role").agg(F.count("*").alias("n"))
+        # At most one line per check and one of the table itself.
+        met = met.groupBy("space", "a").agg(F.collect_list(F.struct("role", "n")).alias("lines"))
+        orphans = met.where(~F.exists("lines", lambda x: x["role"] == _PARENT)).select(F.inline("lines"))
+        faults = faults.unionByName(orphans.select(F.col("role").alias("check"), "n"))
+    found = faults.groupBy("check").agg(F.sum("n").alias("n"))
+    listed = counted.sparkSession.createDataFrame(
+        [(k, *own) for k, own in enumerate(checks.named)], "check int, table_name string, fault string, columns string")
+    return listed.join(found, "check", "left").select(
+        "table_name", "fault", "columns", F.coalesce("n", F.lit(0)).cast("bigint").alias("bad_rows"))
 
 
 def dedupe_events(events: DataFrame) -> DataFrame:

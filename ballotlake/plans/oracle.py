@@ -720,6 +720,8 @@ FROM vote v""")
     out["dedupe_events_stream"] = out["dedupe_events"]
     out["copy_text_round_trip"] = _sql({}, f"""
 SELECT id, from_address, immediate_caller, {_dec('lock_amt', 'lock_amt')}, contract_address, log_index, tx_id, block_id FROM locks""")
+    for name in ("dump_round_trip", "copy_source_round_trip", "copy_source_stream"):
+        out[name] = out["copy_text_round_trip"]
     out["snapshot_round_trip"] = _sql({}, "SELECT id, voter, poll_id, option_id, option_id_raw, block_id, chain_id FROM vote")
     out["retract_blocks"] = _sql({}, _kept_rows())
     out["merge_chains"] = _sql({}, """

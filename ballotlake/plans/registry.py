@@ -16,7 +16,9 @@ from ballotlake.operators import balances, blocks, locks, polls, proxies, qualit
 from ballotlake.plans.probes import (
     AFTER, CALLERS, DURING, HASH_LIKE, LAST_POLL, LAST_VOTER, LOCKS_FROM, POLL, VOTER, VOTERS,
 )
+from ballotlake.sources.copysource import register
 from ballotlake.sources.copytext import load_copy_text, write_copy_text
+from ballotlake.sources.dump import load_dump, write_dump
 from ballotlake.sources.events import event_tables
 from ballotlake.sources.located import locate
 from ballotlake.sources.logs import route_logs
@@ -130,6 +132,32 @@ def _copy_text_round_trip(t: GovTables) -> DataFrame:
     return load_copy_text(spark, path, "lock", columns).select(*columns[:3], F.col("lock_amt").cast(RESULT).alias("lock_amt"), *columns[4:])
 
 
+def _copy_source(t: GovTables, stream: bool) -> DataFrame:
+    """Locks written and read in the format of the data source; as a stream, through a second folder."""
+    spark = t.lock.sparkSession
+    register(spark)
+    path = fresh_folder(spark, "copytext")
+    columns = ["id", "from_address", "immediate_caller", "lock_amt", "contract_address", "log_index", "tx_id", "block_id"]
+    t.lock.select(*columns).write.format("copytext").mode("append").save(path)
+    if stream:
+        read = spark.readStream.format("copytext").option("table", "lock").option("path", path).load()
+        path = fresh_folder(spark, "copytext-stream")
+        out = read.writeStream.format("copytext").option("path", path).option("checkpointLocation", fresh_folder(spark, "mark"))
+        out.trigger(availableNow=True).start().awaitTermination()
+    again = spark.read.format("copytext").option("table", "lock").load(path)
+    return again.select(*columns[:3], F.col("lock_amt").cast(RESULT).alias("lock_amt"), *columns[4:])
+
+
+def _dump_round_trip(t: GovTables) -> DataFrame:
+    """Locks and transfers as sections of dump files; the locks as they are read from there."""
+    spark = t.lock.sparkSession
+    path = fresh_folder(spark, "dump")
+    columns = ["id", "from_address", "immediate_caller", "lock_amt", "contract_address", "log_index", "tx_id", "block_id"]
+    write_dump(t.replace(lock=t.lock.select(*columns)), path, ["transfer", "lock"], files=2)
+    again = load_dump(spark, path).lock
+    return again.select(*columns[:3], F.col("lock_amt").cast(RESULT).alias("lock_amt"), *columns[4:])
+
+
 def _snapshot_round_trip(t: GovTables) -> DataFrame:
     spark = t.vote.sparkSession
     path = fresh_folder(spark, "snapshot")
@@ -276,6 +304,9 @@ def _over_tables() -> dict[str, Callable[[GovTables], DataFrame]]:
     q["running_balances_stream"] = _balance_stream
     q["dedupe_events_stream"] = _deduped_stream
     q["copy_text_round_trip"] = _copy_text_round_trip
+    q["dump_round_trip"] = _dump_round_trip
+    q["copy_source_round_trip"] = lambda t: _copy_source(t, False)
+    q["copy_source_stream"] = lambda t: _copy_source(t, True)
     q["snapshot_round_trip"] = _snapshot_round_trip
     q["retract_blocks"] = _retracted
     q["merge_chains"] = _merged_chains
