@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ballotlake.llm.common import of, offsets, pieces, with_row
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 UNIT = 4096
 MOST_PIECES = 1 << 20
 MARK = "▁"
@@ -102,9 +102,34 @@ def units(text: str | None) -> list[str]:
     return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def words_of(text: str) -> list[str] | None:
-    """The words between single spaces, whose units are those of the text; ``None`` where marks would run together."""
-    return None if text[:1] == " " or "  " in text or MARK in text else text.split(" ")
+def words_of(text: str) -> list[str]:
+    """What stands between single spaces; further spaces before a word, or at the end, go with it as marks.
+
+    The units of the words, one after the other, are those of the text.
+    """
+    own = text.replace(MARK, " ").split(" ")
+    if "" not in own:
+        return own
+    out, marks = [], 0
+    for word in own:
+        if word:
+            out.append(MARK * marks + word)
+            marks = 0
+        else:
+            marks += 1
+    if marks:
+        out.append(MARK * (marks - 1))
+    return out
+
+
+def units_of(word: str) -> list[str]:
+    """The units of a word of ``words_of``: most words are letters, with a sign at the end or without."""
+    if word.isalpha():
+        return [MARK + word]
+    body, sign = word[:-1], word[-1:]
+    if sign < "\x80" and body.isalpha() and not sign.isalpha():
+        return [MARK + body, sign]
+    return _UNITS.findall(MARK + word)
 
 
 # An edge in one long: where it ends, where it starts, and the row of the score table.  Of two that end at one place
@@ -237,25 +262,27 @@ class _Blocks:
 def _different_units(blocks: _Blocks):
     """(block, word): the units of up to ``UNIT`` characters, each once per block."""
 
-    def found(block, words, units_of):
-        units_of.update(u for w in words for u in _UNITS.findall(MARK + w))
-        own = [u for u in units_of if len(u) <= UNIT]
+    def found(block, words):
+        different = set()
+        while words:  # a word goes as its units come
+            different.update(units_of(words.pop()))
+        own = [u for u in different if len(u) <= UNIT]
+        del different
         for a in range(0, len(own), 100_000):
             some = own[a:a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), pa.array(some, pa.string())], ["block", "word"])
 
     def run(batches):
-        current, words, others = None, set(), set()
+        current, words = None, set()
         for block, part in blocks.cut(batches):
             if block != current:
-                yield from found(current, words, others)
-                current, words, others = block, set(), set()
+                yield from found(current, words)
+                current, words = block, set()
             for text in of(part, "row.text").to_pylist():
-                if text and (own := words_of(text)) is not None:
-                    words.update(own)
-                elif text:
-                    others.update(units(text))
-        yield from found(current, words, others)
+                if text:
+                    words.update(words_of(text))
+        yield from found(current, words)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -310,15 +337,14 @@ def _path_batches(batches):
         yield from packed()
 
 
-class _Dictionary:
-    """The units of a block with their ids, as bytes; and the words that single spaces part, put together at first use."""
+class _Words(dict):
+    """The ids of a block's words, as bytes, put together from those of their units at first use."""
 
     def __init__(self, vocabulary: Vocabulary, opened):
         self.ids = np.array([i for _, i, _ in vocabulary.rows], np.int32)
         self.byte_ids, self.opened = vocabulary.byte_ids, opened
-        #: A unit of one mark and what follows is a word of its own, listed without the mark.
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
+        #: Units that are not one mark and a word without marks; those are words, and listed as such.
+        self.units: dict[str, bytes] = {}
 
     def bytes_of(self, path) -> bytes:
         own = [i for r in path for i in ([self.ids[r]] if r >= 0 else [self.byte_ids[b] for b in chr(-1 - r).encode()])]
@@ -334,43 +360,36 @@ class _Dictionary:
         at = 4 + 8 * n + 4 * len(rows)
         begin = 0
         for length, end, missing in zip(lengths.tolist(), ends, odd):
-            word = data[at:at + length].decode()
+            unit = data[at:at + length].decode()
             at += length
             own = self.bytes_of(rows[begin:end].tolist()) if missing else known[4 * begin:4 * end]
             begin = end
-            if word[0] == MARK and len(word) > 1 and word[1] != MARK:
-                self.words[word[1:]] = own
+            if unit[0] == MARK and MARK not in unit[1:]:
+                self[unit[1:]] = own
             else:
-                self.others[word] = own
+                self.units[unit] = own
 
     def unit(self, unit: str) -> bytes:
-        own = self.words.get(unit[1:]) if unit[0] == MARK else None
-        if own is None and (own := self.others.get(unit)) is None:
+        own = dict.get(self, unit[1:]) if unit[0] == MARK else None
+        if own is None and (own := self.units.get(unit)) is None:
             if len(unit) <= UNIT:
                 raise ValueError("the rows of a block are not those its units came from: the input gave other rows when read again")
-            self.others[unit] = own = self.bytes_of(self.opened()(unit))
+            self.units[unit] = own = self.bytes_of(self.opened()(unit))
         return own
 
-    def word(self, word: str) -> bytes:
-        own = self.words.get(word)
-        if own is None:
-            self.words[word] = own = b"".join(map(self.unit, _UNITS.findall(MARK + word)))
+    def __missing__(self, word: str) -> bytes:
+        self[word] = own = b"".join(map(self.unit, units_of(word)))
         return own
 
-    def text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        own = words_of(text)
-        return b"".join(map(self.unit, units(text)) if own is None else map(self.word, own))
-
 
-def _put_together(vocabulary: Vocabulary):
+def _put_together(vocabulary: Vocabulary, check: bool):
     """Each block's paths come first; then its rows get their ids, batch by batch."""
     import zstandard
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         search: list[Search] = []
+        texts = _texts_of(vocabulary) if check else None
 
         def opened() -> Search:
             return search[0] if search else search.append(Search(vocabulary)) or search[0]
@@ -379,7 +398,7 @@ def _put_together(vocabulary: Vocabulary):
         for batch in batches:
             for block, kind, data in zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
                 if block != current:
-                    current, known = block, _Dictionary(vocabulary, opened)
+                    current, known = block, _Words(vocabulary, opened)
                 data = open_(data.as_py())
                 if kind == 0:
                     known.load(data)
@@ -387,16 +406,27 @@ def _put_together(vocabulary: Vocabulary):
                 rows = pa.ipc.open_stream(data).read_next_batch()
                 for a in range(0, rows.num_rows, 256):
                     some = rows.slice(a, 256)
-                    out = [known.text(x) for x in of(some, "row.text").to_pylist()]
+                    given = of(some, "row.text").to_pylist()
+                    out = [b"".join(map(known.__getitem__, words_of(x))) if x else b"" for x in given]
                     flat = pa.array(np.frombuffer(b"".join(out), np.int32), pa.int32())
-                    starts = offsets([len(x) // 4 for x in out]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([some.column("row"), pa.ListArray.from_arrays(starts, flat)], ["row", "ids"])
+                    ids = pa.ListArray.from_arrays(offsets([len(x) // 4 for x in out]).astype(np.int32), flat)
+                    columns = [some.column("row"), ids]
+                    if check:
+                        again = zip(texts(ids), given)
+                        columns.append(pa.array([x == (y or "").replace(MARK, " ") for x, y in again], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "round_trip"][:len(columns)])
+        # Other tasks' workers need the room that this one's dictionary had.
+        known = None
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row of ``docs`` (with ``text``) as ``row``, with its ``ids``."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYTES, check: bool = False) -> DataFrame:
+    """Every row of ``docs`` (with ``text``) as ``row``, with its ``ids``.
+
+    ``check`` adds ``round_trip``: whether the ids, decoded on the spot as ``decode`` does it, give ``comes_back_as`` the text.
+    """
     rows = with_row(docs).withColumn("part", F.spark_partition_id())
     blocks = _Blocks(rows, block_bytes)
     texts = rows.select(F.struct("row.text").alias("row"), "part")
@@ -406,24 +436,38 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYT
     paths = had.join(lattice(words.where(F.col("block") >= 0), vocabulary), "word").select("block", "word", "rows")
     packed = paths.mapInArrow(_path_batches, "block int, kind int, data binary").unionByName(
         rows.mapInArrow(_row_batches(blocks), "block int, kind int, data binary"))
-    shape = rows.select("row", F.array().cast("array<int>").alias("ids")).schema
+    added = [F.array().cast("array<int>").alias("ids"), F.lit(True).alias("round_trip")]
+    shape = rows.select("row", *added[:2 if check else 1]).schema
     met = packed.repartitionById(max(1, blocks.n), "block").sortWithinPartitions("block", "kind")
-    return met.mapInArrow(_put_together(vocabulary), shape)
+    return met.mapInArrow(_put_together(vocabulary, check), shape)
+
+
+def _texts_of(vocabulary: Vocabulary):
+    """Lists of ids to texts: all pieces of some lists are taken at once, then cut at the ends of the lists."""
+    pieces_by_id = pa.array([x.replace(MARK.encode(), b" ") for x in vocabulary.by_id], pa.large_binary())
+
+    def texts(lists: pa.Array) -> list[str]:
+        out = []
+        for a in range(0, len(lists), 256):
+            some = lists.slice(a, 256)
+            ends = offsets(pa.compute.fill_null(pa.compute.list_value_length(some), 0).to_numpy(zero_copy_only=False))
+            found = pieces_by_id.take(some.flatten())
+            starts = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+            data = found.buffers()[2].to_pybytes() if len(found) else b""
+            for begin, end in zip(starts[ends[:-1]].tolist(), starts[ends[1:]].tolist()):
+                out.append(data[begin + (data[begin:begin + 1] == b" "):end].decode(errors="replace"))
+        return out
+
+    return texts
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The text of an array of ids; control and unknown ids give nothing."""
-    by_id = vocabulary.by_id
-    mark = MARK.encode()
+    found = _texts_of(vocabulary)
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        out = []
-        for a in range(0, len(lists), 256):
-            for own in lists.slice(a, 256).to_pylist():
-                text = b"".join(map(by_id.__getitem__, own or ())).replace(mark, b" ").decode(errors="replace")
-                out.append(text[1:] if text[:1] == " " else text)
-        return pa.array(out, pa.string())
+        return pa.array(found(lists), pa.string())
 
     return texts(ids)
 
@@ -436,7 +480,6 @@ def comes_back_as(text: Column) -> Column:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     vocabulary = load()
-    out = encode(docs, vocabulary)
+    out = encode(docs, vocabulary, check=True)
     return out.select(
-        "row.doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        (decode(F.col("ids"), vocabulary) == comes_back_as(F.col("row.text"))).alias("round_trip"))
+        "row.doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")

@@ -46,6 +46,8 @@ def test_table_equals_the_library_and_comes_back(spark, vocabulary, library):
         same += r.ids == want
         assert score(vocabulary, r.ids) == score(vocabulary, want)
     assert len(out) == 60 and same > 50
+    some = codec.encode(docs, vocabulary, 60_000, check=True).withColumn("again", codec.decode(F.col("ids"), vocabulary)).collect()
+    assert [r.round_trip for r in some] == [r.again == r.row.text for r in some] and len(some) == 60
     rows = codec.op7_sentencepiece(spark, SMALL).collect()
     assert all(r.round_trip for r in rows) and len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
 
