@@ -38,11 +38,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    vocabulary = pieces_codec.load()
-    out = pieces_codec.encode(docs.select("doc_id", "text"), vocabulary)
-    return out.select(
-        "row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
-        (pieces_codec.decode(F.col("ids"), vocabulary) == pieces_codec.comes_back_as(F.col("row.text"))).alias("round_trip"))
+    out = pieces_codec.encode(docs.select("doc_id", "text"), pieces_codec.load(), check=True)
+    return out.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [
