@@ -748,9 +748,27 @@ SELECT v.id, v.voter, v.poll_id, v.option_id, b.number AS block_number, b.block_
 FROM vote v LEFT JOIN block b ON b.id = v.block_id LEFT JOIN tx t ON t.id = v.tx_id""")
     out["integrity_report"] = _sql(
         {}, f"SELECT table_name, fault, columns, CAST(bad_rows AS BIGINT) AS bad_rows FROM (\n{_faults()}) f")
+    for name, query in CALLED.items():
+        out[f"sql_{name}"] = out[query]
     return out
 
 
+# Functions called in SQL, and the query with the same answer.
+CALLED = {
+    "holders_on_block": "token_holders_block", "holders_at_time": "token_holders_time", "holders_currently": "token_holders_now",
+    "balance_on_block": "locked_balances_block", "balance_at_time": "locked_balances_time",
+    "combined_chief_and_mkr_balances_at_time": "combined_balances_time",
+    "all_active_vote_proxies": "active_proxies_block", "all_active_vote_proxies_at_time": "active_proxies_time",
+    "all_active_vote_proxies_currently": "funded_proxies", "total_mkr_weight_all_proxies_at_time": "proxy_weights_time",
+    "hot_or_cold_weight": "party_weights_block", "total_mkr_weight_proxy_and_no_proxy_at_time": "voting_weights_time",
+    "total_mkr_weight_proxy_and_no_proxy_by_address_at_time": "voting_weight_of_time",
+    "valid_votes_at_time": "valid_votes_time", "valid_votes_at_time_ranked_choice": "valid_votes_time_raw",
+    "unique_voters": "unique_voters", "unique_votes_1": "canonical_votes_first_chain", "active_poll_by_id": "active_polls_by_id",
+    "current_vote": "current_vote", "time_to_block_number": "block_at", "mkr_delegated_to": "delegated_by",
+    "all_esm_joins": "shutdown_joins_v1",
+}
+
+
 def _name(table: str) -> str:
     return "locks" if table == "lock" else table
 

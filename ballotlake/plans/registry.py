@@ -23,6 +23,7 @@ from ballotlake.sources.events import event_tables
 from ballotlake.sources.located import locate
 from ballotlake.sources.logs import route_logs
 from ballotlake.sources.snapshot import load_snapshot, save_snapshot
+from ballotlake.sqlfunctions import register_functions
 from ballotlake.streaming.balances import running_balance_stream, stored_balances
 from ballotlake.streaming.events import dedupe_into, stream_table
 
@@ -315,11 +316,50 @@ def _over_tables() -> dict[str, Callable[[GovTables], DataFrame]]:
     return q
 
 
+def _called(name: str, *arguments: str) -> Callable[[GovTables], DataFrame]:
+    """A function called in SQL; ``block`` stands for the number of the last block at the time asked."""
+    def ask(t: GovTables) -> DataFrame:
+        spark = t.block.sparkSession
+        register_functions(spark, t)
+        given = [str(blocks.block_at(t, DURING).first()[0]) if a == "block" else a for a in arguments]
+        return spark.sql(f"SELECT * FROM {name}({', '.join(given)})")
+
+    return ask
+
+
+#: Functions as they are called in SQL.
+SQL_CALLS = {
+    "holders_on_block": ["block"],
+    "holders_at_time": [str(DURING)],
+    "holders_currently": [],
+    "balance_on_block": ["block"],
+    "balance_at_time": [str(DURING)],
+    "combined_chief_and_mkr_balances_at_time": [str(DURING)],
+    "all_active_vote_proxies": ["block"],
+    "all_active_vote_proxies_at_time": [str(DURING)],
+    "all_active_vote_proxies_currently": [],
+    "total_mkr_weight_all_proxies_at_time": [str(DURING)],
+    "hot_or_cold_weight": ["block"],
+    "total_mkr_weight_proxy_and_no_proxy_at_time": [str(DURING)],
+    "total_mkr_weight_proxy_and_no_proxy_by_address_at_time": [f"'{VOTER}'", str(DURING)],
+    "valid_votes_at_time": [str(POLL), str(DURING)],
+    "valid_votes_at_time_ranked_choice": [str(POLL), str(DURING)],
+    "unique_voters": [str(POLL)],
+    "unique_votes_1": [str(POLL)],
+    "active_poll_by_id": [str(POLL)],
+    "current_vote": [f"'{LAST_VOTER}'", str(LAST_POLL)],
+    "time_to_block_number": [str(DURING)],
+    "mkr_delegated_to": [f"'{VOTER}'"],
+    "all_esm_joins": [],
+}
+
+
 def registry() -> dict[str, Query]:
     def over(question) -> Query:
         return lambda spark, sf_dir: question(event_tables(spark, sf_dir))
 
     out = {name: over(question) for name, question in _over_tables().items()}
+    out |= {f"sql_{name}": over(_called(name, *arguments)) for name, arguments in SQL_CALLS.items()}
     # The load-time join itself, from facts that do not have the columns yet.
     out["locate_facts"] = lambda spark, sf_dir: _located_votes(event_tables(spark, sf_dir, located=False))
     return out
