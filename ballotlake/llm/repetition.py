@@ -65,17 +65,47 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def _same_length(prefix: np.ndarray, power: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many words the suffixes at ``a`` and ``b`` (a < b) share, at most ``most``: bisection on rolling hashes."""
-    low, high = np.zeros(len(a), np.int64), most.copy()
-    shift = power[b - a]
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
-        mid = (low + high + 1) // 2
-        same = (prefix[a + mid] - prefix[a]) * shift == prefix[b + mid] - prefix[b]
-        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+# Hashes are polynomials over two prime fields: over the integers modulo 2^64 there are texts (Thue and Morse) that agree in
+# every base without being equal.
+_FIELDS = ((2147483647, 1103515245), (2147483629, 1664525947))
+
+
+def _powers(n: int, base: int, prime: int) -> np.ndarray:
+    """base^0 ... base^n, by doubling."""
+    out, size, step = np.ones(n + 1, np.uint64), 1, base
+    while size <= n:
+        m = min(size, n + 1 - size)
+        out[size:size + m] = out[:m] * np.uint64(step) % np.uint64(prime)
+        size, step = size * 2, step * step % prime
+    return out
+
+
+class Prefixes:
+    """Rolling hashes of a shard's words."""
+
+    def __init__(self, codes: np.ndarray):
+        self.fields = []
+        for prime, base in _FIELDS:
+            p, power = np.uint64(prime), _powers(len(codes), base, prime)
+            prefix = np.zeros(len(codes) + 1, np.uint64)
+            prefix[1:] = np.cumsum(codes % p * power[:-1] % p) % p
+            self.fields.append((p, power, prefix))
+
+    def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the ``n`` words from ``a`` are those from ``b`` (a < b)."""
+        out = np.ones(len(a), bool)
+        for p, power, prefix in self.fields:
+            out &= (prefix[a + n] + p - prefix[a]) % p * power[b - a] % p == (prefix[b + n] + p - prefix[b]) % p
+        return out
+
+    def shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at ``a`` and ``b`` share, at most ``most``: by bisection."""
+        low, high = np.zeros(len(a), np.int64), most.copy()
+        while (open_ := low < high).any():
+            mid = (low + high + 1) // 2
+            same = self.same(a, b, mid)
+            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        return low
 
 
 def _repeats(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,16 +154,10 @@ def _repeats(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
             break
         width *= 2
     # Neighbours in the suffix array that share a window at all, and by how much.
-    power = np.empty(n + 1, np.uint64)
-    power[0] = 1
-    power[1:] = _BASE
-    power = np.cumprod(power)
-    prefix = np.zeros(n + 1, np.uint64)
-    prefix[1:] = np.cumsum(codes * power[:n])
     first, second = np.minimum(at[:-1], at[1:]), np.maximum(at[:-1], at[1:])
     inside = text[first] == text[second]
     first, second = first[inside], second[inside]
-    common = _same_length(prefix, power, first, second, ends[second] - second)
+    common = Prefixes(codes).shared(first, second, ends[second] - second)
     np.maximum.at(longest, first, common)
     np.maximum.at(longest, second, common)
     grams = np.flatnonzero(longest >= GRAM)

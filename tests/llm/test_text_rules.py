@@ -89,3 +89,18 @@ def test_op8_on_a_table(spark):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_covered, r.longest_repeat) == want
             assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
     assert not any(r.kept and r.base_failed for r in rows)
+
+
+def test_texts_that_break_hashes_of_machine_words():
+    import numpy as np
+    from ballotlake.llm import repetition
+    run = [bin(i).count("1") % 2 for i in range(4096)]
+    words = [f"w{x}" for x in run] + ["between", "them"] + [f"w{1 - x}" for x in run]
+    codes = np.array([hash(w) & 0xFFFFFFFF for w in words], np.uint64)
+    longest, _ = repetition._repeats(codes, np.array([0, len(words)]))
+    place: dict = {}
+    for i in range(len(words) - 2047):
+        place.setdefault(tuple(words[i:i + 2048]), []).append(i)
+    assert any(len(x) > 1 for x in place.values())  # 2,048 words repeat
+    more = {tuple(words[i:i + 2049]) for i in range(len(words) - 2048)}
+    assert len(more) == len(words) - 2048 and longest.max() == 2048  # and no more
