@@ -19,7 +19,8 @@ averages the weights of the tasks, weighted by their tokens, row by row of the w
 is one set of weights per round, of fixed size.
 
 Tokens beside the text's ends are a border token.  A null, empty or blank text has no tokens, score 0 and no mean.
-Repeated rows are scored alike and count as often as they occur.  An empty table trains nothing and scores nothing.
+Repeated rows are scored alike and count as often as they occur.  As
+the weights of tasks are averaged, scores depend a little on how the table's files are split into tasks.  An empty table trains nothing and scores nothing.
 """
 
 from __future__ import annotations
@@ -128,33 +129,39 @@ class Shares:
         return float(np.logaddexp(seen, spelt)) - math.log(self.counts[k] + self.types[k])
 
 
-class Tokens:
-    """Token numbers of texts, with ``REACH`` border tokens around each."""
+class _Numbers(dict):
+    """Token numbers of words; the class of any other word, by its last two bytes, is found at its first use."""
 
     def __init__(self, frequent: list[bytes]):
-        self.number = {w: i for i, w in enumerate(frequent)}
+        super().__init__((w, i) for i, w in enumerate(frequent))
         self.most = len(frequent) + REMEMBERED
 
-    def _rest(self, word: bytes) -> int:
-        """The class of another word, by its last two bytes."""
+    def __missing__(self, word: bytes) -> int:
         found = WORDS + _ending(word)
-        if len(self.number) < self.most:
-            self.number[word] = found
+        if len(self) < self.most:
+            self[word] = found
         return found
 
+
+def bordered(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens with ``REACH`` border tokens around each text, the places of the real ones, and where each text's begin among these."""
+    border = np.full(REACH, VOCABULARY - 1, np.int64)
+    counts = [len(x) for x in ids]
+    tokens = np.concatenate([border, *(x for own in ids for x in (own, border))])
+    at = offsets(counts)
+    places = np.arange(at[-1]) + REACH * (1 + np.repeat(np.arange(len(ids)), counts))
+    return tokens, places, at
+
+
+class Tokens:
+    """Token numbers of texts, with borders."""
+
+    def __init__(self, frequent: list[bytes]):
+        self.number = _Numbers(frequent)
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens with borders, the places of the real ones, and where each text's begin among these."""
-        known, out, counts = self.number, [], []
-        border = np.full(REACH, VOCABULARY - 1, np.int64)
-        for text in texts:
-            found = words(text)
-            ids = np.array([self._rest(w) if n is None else n for w, n in zip(found, map(known.get, found))], np.int64)
-            out += [ids, border]
-            counts.append(len(ids))
-        tokens = np.concatenate([border, *out]) if out else border
-        at = offsets(counts)
-        places = np.arange(at[-1]) + REACH * (1 + np.repeat(np.arange(len(texts)), counts))
-        return tokens, places, at
+        known = self.number.__getitem__
+        return bordered([np.fromiter(map(known, found), np.int64, len(found)) for found in map(words, texts)])
 
 
 SIDES = [d for d in range(-REACH, REACH + 1) if d]
@@ -179,42 +186,54 @@ class Window:
         return out
 
     def _forward(self, tokens: np.ndarray, places: np.ndarray):
+        """The tokens beside each place, the hidden layer, and the softmax before its division: numerators and their sums."""
         beside = [tokens[places + d] for d in SIDES]
         total = self.embed[0][beside[0]] + self.hidden_bias
         for k in range(1, len(SIDES)):
             total += self.embed[k][beside[k]]
-        hidden = np.tanh(total)
+        hidden = np.tanh(total, out=total)
         logits = hidden @ self.out.T
         logits += self.bias
-        logits -= logits.max(1, keepdims=True)
+        if self._wide():
+            logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return beside, hidden, logits
+        return beside, hidden, logits, logits.sum(1)
+
+    def _wide(self) -> bool:
+        """Whether a logit could leave the range of the exponential function in single precision."""
+        return bool((np.abs(self.out).sum(1) + np.abs(self.bias)).max() > 60)
 
     def log_probabilities(self, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
         out = np.empty(len(places))
         for a in range(0, len(places), BATCH):
             at = places[a:a + BATCH]
-            p = self._forward(tokens, at)[2]
-            out[a:a + BATCH] = np.log(np.maximum(p[np.arange(len(at)), tokens[at]], 1e-12))
+            _, _, e, total = self._forward(tokens, at)
+            out[a:a + BATCH] = np.log(np.maximum(e[np.arange(len(at)), tokens[at]] / total, 1e-12))
         return out
 
     def train(self, tokens: np.ndarray, places: np.ndarray) -> None:
         for a in range(0, len(places), BATCH):
             at = places[a:a + BATCH]
-            beside, hidden, error = self._forward(tokens, at)
-            error[np.arange(len(at)), tokens[at]] -= 1
-            back = (error @ self.out) * (1 - hidden ** 2)
+            wanted = tokens[at]
+            beside, hidden, e, total = self._forward(tokens, at)
+            share = (1 / total)[:, None]
+            back = ((e @ self.out) * share - self.out[wanted]) * (1 - hidden ** 2)
             rate = np.float32(RATE * min(1.0, len(at) / BATCH) / len(at))
-            self.out -= rate * (error.T @ hidden)
-            self.bias -= rate * error.sum(0)
+            self.out -= rate * (e.T @ (hidden * share) - _sums(wanted, hidden))
+            self.bias -= rate * ((share.T @ e)[0] - np.bincount(wanted, minlength=VOCABULARY).astype(np.float32))
             self.hidden_bias -= rate * back.sum(0)
             for k, tokens_ in enumerate(beside):
-                # Sums by token: the rows in token order, added up run by run.
-                order = np.argsort(tokens_, kind="stable")
-                own = tokens_[order]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                self.embed[k][own[first]] -= 4 * rate * np.add.reduceat(back[order], first, axis=0)
+                self.embed[k] -= 4 * rate * _sums(tokens_, back)
+
+
+def _sums(tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each token of the vocabulary: the rows in token order, added up run by run."""
+    order = np.argsort(tokens.astype(np.uint8 if VOCABULARY <= 256 else np.int64), kind="stable")
+    own = tokens[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    out = np.zeros((VOCABULARY, rows.shape[1]), np.float32)
+    out[own[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 def first_weights(share: np.ndarray) -> np.ndarray:
@@ -252,6 +271,15 @@ def train(docs: DataFrame, frequent: list[bytes], share: np.ndarray, rounds: int
     return Window(weights)
 
 
+def _per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of each text's values, whatever stands before it."""
+    out = np.zeros(len(at) - 1)
+    some = at[1:] > at[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, at[:-1][some])
+    return out
+
+
 def score(docs: DataFrame, frequent: list[bytes], network: Window) -> DataFrame:
     """Every row of ``docs`` as ``row``, with ``n_tokens`` and ``log_likelihood``."""
     tokens = Tokens(frequent)
@@ -260,9 +288,9 @@ def score(docs: DataFrame, frequent: list[bytes], network: Window) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "row.text"):
                 ids, places, at = tokens(raw(of(part, "row.text")))
-                total = np.concatenate([[0.0], np.cumsum(network.log_probabilities(ids, places))])
+                total = _per_text(network.log_probabilities(ids, places), at)
                 field = part.schema.field("found")
-                found = pa.StructArray.from_arrays([pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]])], fields=list(field.type))
+                found = pa.StructArray.from_arrays([pa.array(np.diff(at)), pa.array(total)], fields=list(field.type))
                 yield part.set_column(part.schema.get_field_index("found"), field, found)
 
     out = with_row(docs).withColumn("found", F.lit(None).cast("struct<n_tokens:bigint,log_likelihood:double>"))
@@ -275,7 +303,7 @@ def score_words(docs: DataFrame, frequent: list[bytes], network: Window, counts:
     blocks = max(1, math.ceil(total / block_bytes))
     rows = with_row(docs).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     rows = rows.repartition(blocks, "block")
-    tokens, classed = Tokens(frequent), frozenset(frequent)
+    classed = frozenset(frequent)
 
     def different(batches):
         """(block, word) of the words of classes, each once per block and piece."""
@@ -293,16 +321,20 @@ def score_words(docs: DataFrame, frequent: list[bytes], network: Window, counts:
     shape = rows.select("row", F.lit(None).cast("bigint").alias("n_tokens"), F.lit(None).cast("double").alias("log_likelihood")).schema
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = {w: shares(w, n) for w, n in zip(right.column("word").to_pylist(), right.column("n").to_pylist())}
+        # Every word of the block has a place here: its token, and the log of its share of its class.
+        others = right.column("word").to_pylist()
+        place = {w: i for i, w in enumerate([*frequent, *others])}
+        token = np.array([*range(len(frequent)), *(WORDS + _ending(w) for w in others)], np.int64)
+        own = np.array([*repeat(0.0, len(frequent)), *map(shares, others, right.column("n").to_pylist())])
         out = []
         for batch in left.select(["row"]).combine_chunks().to_batches():
             for part in pieces(batch, "row.text"):
-                texts = raw(of(part, "row.text"))
-                ids, places, at = tokens(texts)
-                total = np.concatenate([[0.0], np.cumsum(network.log_probabilities(ids, places))])
-                in_class = np.array([sum(map(own.get, words(t), repeat(0.0))) for t in texts])
+                at_words = [np.fromiter(map(place.__getitem__, found), np.int64, len(found)) for found in map(words, raw(of(part, "row.text")))]
+                ids, places, at = bordered([token[x] for x in at_words])
+                flat = np.concatenate(at_words) if at_words else np.zeros(0, np.int64)
+                total = _per_text(network.log_probabilities(ids, places) + own[flat], at)
                 out.append(pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]] + in_class)], ["row", "n_tokens", "log_likelihood"]))
+                    [part.column("row"), pa.array(np.diff(at)), pa.array(total)], ["row", "n_tokens", "log_likelihood"]))
         return pa.Table.from_batches(out)
 
     return rows.select(F.col("block").alias("of"), "row").groupBy("of").cogroup(counted.groupBy("block")).applyInArrow(scored, shape)
