@@ -549,6 +549,8 @@ SELECT DISTINCT c.poll_id, CAST(c.end_date AS BIGINT) AS unix,
     out["votes_with_proxy_all"] = _sql(every, f"SELECT {columns} FROM proxied")
     out["latest_votes_all"] = _sql(every, f"SELECT {columns} FROM newest_votes")
     out["unique_voters"] = _sql(_unique_voters(POLL), "SELECT count(DISTINCT voter) AS unique_voters FROM final")
+    out["voters_by_sketch"] = _sql({"valid": _valid("now", "v.poll_id, v.voter", None)}, """
+SELECT poll_id, count(DISTINCT voter) AS voters, CAST(1 AS INT) AS within FROM valid GROUP BY poll_id""")
     out["unique_voters_all"] = _sql(_unique_voters(None), """
 SELECT p.poll_id, count(DISTINCT f.voter) AS unique_voters FROM poll p LEFT JOIN final f ON f.poll_id = p.poll_id
 GROUP BY p.poll_id""")

@@ -67,6 +67,14 @@ def _at_poll_ends(t: GovTables) -> DataFrame:
     return proxies.canonical_voter(t, asked, PER_ROW)
 
 
+def _voters_by_sketch(t: GovTables) -> DataFrame:
+    """Different voters of every poll, and whether the merged sketches of its days come within three percent."""
+    exact = votes.window_votes(t).groupBy("poll_id").agg(F.count_distinct("voter").alias("voters"))
+    about = votes.estimated_voters(votes.voter_sketches(t)).withColumnRenamed("voters", "estimate")
+    close = F.abs(F.col("estimate") - F.col("voters")) <= 0.03 * F.col("voters") + 1
+    return exact.join(about, "poll_id").select("poll_id", "voters", close.cast("int").alias("within"))
+
+
 def _poll_ends(t: GovTables):
     return unix(t.poll.select(F.col("end_date").cast("bigint")))
 
@@ -213,6 +221,7 @@ def _over_tables() -> dict[str, Callable[[GovTables], DataFrame]]:
     q["latest_votes_all"] = lambda t: votes.latest_votes(t, EVERY, unix(DURING))
     q["unique_voters"] = lambda t: votes.unique_voters(t, POLL)
     q["unique_voters_all"] = votes.unique_voters
+    q["voters_by_sketch"] = _voters_by_sketch
 
     # Canonical votes.
     q["canonical_votes_first_chain"] = lambda t: votes.canonical_votes(t, POLL, None, (1,))
