@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +128,15 @@ class Shares:
         return float(np.logaddexp(seen, spelt)) - math.log(self.counts[k] + self.types[k])
 
 
+    def of_words(self, classes: np.ndarray, lengths: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same for many words, from their classes, lengths and counts."""
+        counts, types = np.array(self.counts), np.array(self.types, float)
+        spelt = np.log(types)[classes] + (1 - lengths) * math.log(len(LETTERS) + 1) - np.log(np.array(self.endings, float))[classes]
+        with np.errstate(divide="ignore"):
+            seen = np.log(n.astype(float))
+        return np.logaddexp(seen, spelt) - np.log(counts + types)[classes]
+
+
 class _Numbers(dict):
     """Token numbers of words; the class of any other word, by its last two bytes, is found at its first use."""
 
@@ -324,8 +332,10 @@ def score_words(docs: DataFrame, frequent: list[bytes], network: Window, counts:
         # Every word of the block has a place here: its token, and the log of its share of its class.
         others = right.column("word").to_pylist()
         place = {w: i for i, w in enumerate([*frequent, *others])}
-        token = np.array([*range(len(frequent)), *(WORDS + _ending(w) for w in others)], np.int64)
-        own = np.array([*repeat(0.0, len(frequent)), *map(shares, others, right.column("n").to_pylist())])
+        classes = np.fromiter(map(_ending, others), np.int64, len(others))
+        lengths = np.fromiter(map(len, others), np.int64, len(others))
+        token = np.concatenate([np.arange(len(frequent)), WORDS + classes])
+        own = np.concatenate([np.zeros(len(frequent)), shares.of_words(classes, lengths, right.column("n").to_numpy())])
         out = []
         for batch in left.select(["row"]).combine_chunks().to_batches():
             for part in pieces(batch, "row.text"):
