@@ -21,8 +21,9 @@ Blocks are joined by one newline in page order; white space inside a block is on
 decoded; ``br`` ends a block.  A null or empty page has the empty text, a page without any text too.  Pages with a null
 or broken URL form one host.  A layout of under ``LEAST_PAGES`` different pages has no template.  Repeated pages are
 returned each by itself.  Elements may be nested to any depth: trees are walked without recursion, and a tag finds what it
-closes without a look at the whole stack.  A tag without its end is read up to the next one.  Lists of children are aligned by
-dynamic programming in pieces of up to ``PIECE`` on either side, so a page takes time that grows with its length.
+closes without a look at the whole stack.  A tag without its end is read up to the next one.  Reading a page takes time that
+grows with its length.  Lists of children are aligned whole, by dynamic programming: time grows with the product of their
+lengths (and of the numbers of their different structures), room with their lengths.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from ballotlake.llm.common import pieces, written
 
 LEAST_PAGES = 5
 SAME_SHARE = 0.9
-#: Children of a node that are aligned in one table.
-PIECE = 200
+#: Rows of an alignment's table that are kept at a time.
+STRETCH = 64
 #: A block of so many words is running text.
 PROSE = 12
 
@@ -286,31 +287,44 @@ def content(root: Node) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(map(str, found))) - (1 << 63)
 
 
-def _best(score: np.ndarray) -> list[tuple[int, int]]:
-    """The pairs of an order-preserving alignment of the greatest sum; pairs of score 0 do not match."""
-    n, m = score.shape
-    table = np.zeros((n + 1, m + 1))
-    for i in range(n):
-        np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + score[i]), out=table[i + 1, 1:])
-    out, i, j = [], n, m
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-    return out[::-1]
+def _next(above: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The row of an alignment's table that follows ``above``: the best sums up to each place."""
+    out = np.zeros_like(above)
+    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + scores), out=out[1:])
+    return out
 
 
-def _cut(p, q):
-    """Two lists in as many pieces each, none longer than ``PIECE``."""
-    n = -(-max(len(p), len(q)) // PIECE)
-    for k in range(n if p and q else 0):
-        x, y = (s[len(s) * k // n:len(s) * (k + 1) // n] for s in (p, q))
-        if x and y:
-            yield x, y
+def _best(row, n: int, m: int) -> list[tuple[int, int]]:
+    """The pairs of an order-preserving alignment of the greatest sum; pairs of score 0 do not match.
+
+    ``row(i)`` gives the scores of the i-th against all m.  Of a long table some rows are kept, and those between are
+    worked out again on the way back.
+    """
+    out, j = [], m
+    todo = [(0, n, np.zeros(m + 1, np.int32))]  # stretches of rows, each with the table's row above it
+    while todo and j:
+        a, b, above = todo.pop()
+        table = [above[:j + 1]]
+        if b - a > STRETCH:
+            step = -(-(b - a) // STRETCH)
+            for k in range(a, b, step):
+                todo.append((k, min(k + step, b), table[0]))
+                for i in range(k, min(k + step, b) if k + step < b else k):
+                    table[0] = _next(table[0], row(i)[:j])
+            continue
+        for i in range(a, b):
+            table.append(_next(table[-1], row(i)[:j]))
+        i = b
+        while i > a and j:
+            here, over = table[i - a], table[i - a - 1]
+            if here[j] == over[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+    return out[::-1]
 
 
 class Matching:
@@ -345,51 +359,83 @@ class Matching:
             if self.value(x, y) is not None:
                 todo.pop()
                 continue
-            cut = list(_cut(self.parts[x][1:], self.parts[y][1:]))
-            if missing := [pair for p, q in cut for pair in self.unknown(p, q)]:
+            p, q, same = self.between(self.parts[x][1:], self.parts[y][1:])
+            if missing := self.unknown(p, q):
                 todo += missing
                 continue
             todo.pop()
-            self.known[x, y] = 1 + sum(int(s[i, j]) for s in (self.values(p, q) for p, q in cut) for i, j in _best(s))
+            if p and q:
+                table, row = np.zeros(len(q) + 1, np.int32), self.rows(p, q)
+                for i in range(len(p)):
+                    table = _next(table, row(i))
+                same += int(table[-1])
+            self.known[x, y] = 1 + same
         return self.value(a, b)
 
+    def between(self, p, q):
+        """Two lists without the equal structures that both begin and end with, and the size of these: they always match."""
+        short = min(len(p), len(q))
+        k = next((i for i in range(short) if p[i] != q[i]), short)
+        e = next((i for i in range(short - k) if p[-1 - i] != q[-1 - i]), short - k)
+        return p[k:len(p) - e], q[k:len(q) - e], sum(self.size[c] for c in (*p[:k], *p[len(p) - e:]))
+
     def value(self, a: int, b: int) -> int | None:
         return self.size[a] if a == b else 0 if self.parts[a][0] != self.parts[b][0] else self.known.get((a, b))
 
-    def same_labels(self, p, q):
-        """The pairs of different structures under one label."""
-        by_label: dict[str, list[int]] = {}
-        for b in set(q):
-            by_label.setdefault(self.parts[b][0], []).append(b)
-        return [(a, b) for a in set(p) for b in by_label.get(self.parts[a][0], ())]
+    def by_label(self, q) -> dict[str, list[int]]:
+        """The different structures of a list by their label."""
+        out: dict[str, list[int]] = {}
+        for b in dict.fromkeys(q):
+            out.setdefault(self.parts[b][0], []).append(b)
+        return out
 
     def unknown(self, p, q) -> list[tuple[int, int]]:
-        return [(a, b) for a, b in self.same_labels(p, q) if self.value(a, b) is None]
-
-    def values(self, p, q) -> np.ndarray:
-        x, at_x = np.unique(p, return_inverse=True)
-        y, at_y = np.unique(q, return_inverse=True)
-        row, column = {int(a): i for i, a in enumerate(x)}, {int(b): j for j, b in enumerate(y)}
-        out = np.zeros((len(x), len(y)))
-        for a, b in self.same_labels(p, q):
-            out[row[a], column[b]] = self.value(a, b)
-        return out[np.ix_(at_x, at_y)]
+        """The pairs of structures under one label that are not matched yet."""
+        by_label = self.by_label(q) if p and q else {}
+        return [(a, b) for a in dict.fromkeys(p) for b in by_label.get(self.parts[a][0], ()) if self.value(a, b) is None]
+
+    def rows(self, p, q):
+        """A function that gives the scores of the i-th of ``p`` against all of ``q``."""
+        different, at = np.unique(q, return_inverse=True)
+        place = {int(b): j for j, b in enumerate(different)}
+        by_label = {label: (own, np.array([place[b] for b in own])) for label, own in self.by_label(q).items()}
+        found: dict[int, np.ndarray] = {}
+
+        def row(i: int) -> np.ndarray:
+            out = np.zeros(len(different), np.int32)
+            own, places = by_label.get(self.parts[a := p[i]][0], ((), ()))
+            if own:
+                if a not in found:
+                    found[a] = np.array([self.value(a, b) for b in own], np.int32)
+                out[places] = found[a]
+            return out[at]
+
+        return row
 
     def children(self, p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
         out, k = [], 0
         while k < min(len(p), len(q)) and p[k].shape == q[k].shape and p[k].whole == q[k].whole:
             out.append((p[k], q[k]))
             k += 1
-        for x, y in _cut(p[k:], q[k:]):
-            shapes = [c.shape for c in x], [c.shape for c in y]
-            for pair in self.unknown(*shapes):
-                self.common(*pair)
-            score = self.values(*shapes)
-            equal = np.array([c.whole for c in x])[:, None] == np.array([c.whole for c in y])[None, :]
-            equal &= np.array([c.whole != 0 for c in x])[:, None]
-            score += np.where((score > 0) & equal, score + 1, 0)
-            out += [(x[i], y[j]) for i, j in _best(score)]
-        return out
+        p, q = p[k:], q[k:]
+        if not (p and q):
+            return out
+        shapes = [c.shape for c in p], [c.shape for c in q]
+        for pair in self.unknown(*shapes):
+            self.common(*pair)
+        row, equal = self.rows(*shapes), {}
+        for j, c in enumerate(q):
+            if c.whole:
+                equal.setdefault(c.whole, []).append(j)
+
+        def scores(i: int) -> np.ndarray:
+            """A pair whose whole texts are the same counts twice and one more."""
+            own = row(i)
+            if at := equal.get(p[i].whole):
+                own[at] += np.where(own[at] > 0, own[at] + 1, 0)
+            return own
+
+        return out + [(p[i], q[j]) for i, j in _best(scores, len(p), len(q))]
 
     def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
         """The matched nodes of two prepared trees."""

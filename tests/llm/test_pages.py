@@ -161,3 +161,48 @@ def test_trees_come_back():
     assert [(n.label, n.code, len(n.children)) for n in pages.nodes_of(again)] == [(n.label, n.code, len(n.children)) for n in pages.nodes_of(made)]
     m = pages.Matching()
     assert len(m.pairs(m.prepare(made), m.prepare(again))) == len(pages.nodes_of(made))
+
+
+def brute_pairs(p, q, score=lambda a, b: (3 if a[1] == b[1] else 1) if a[0] == b[0] else 0):
+    """The score of the best alignment of two lists, of (label, code) or others, cell by cell."""
+    table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i, a in enumerate(p):
+        for j, b in enumerate(q):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + score(a, b))
+    return table[-1][-1]
+
+
+def test_long_lists_of_siblings_are_aligned_whole():
+    import random
+    rnd = random.Random(3)
+    # What is common to both stands far from the same place in each.
+    fixed = [("p", 10_000 + i) for i in range(300)]
+    cases = [(fixed + [("p", i + 1) for i in range(500)], [("p", 1000 + i) for i in range(500)] + fixed)]
+    for n, m in ((5, 7), (64, 65), (65, 300), (201, 450), (700, 130)):
+        cases.append(tuple([(rnd.choice("abc"), rnd.randrange(1, 40)) for _ in range(k)] for k in (n, m)))
+    for p, q in cases:
+        m = pages.Matching()
+        a, b = (m.prepare(tree("b", *[tree(label, code=code) for label, code in x])) for x in (p, q))
+        found = m.pairs(a, b)[1:]
+        assert sum(3 if x.code == y.code else 1 for x, y in found) == brute_pairs(p, q)
+        for own, side in ((a, 0), (b, 1)):
+            order = {id(c): i for i, c in enumerate(own.children)}
+            at = [order[id(pair[side])] for pair in found]
+            assert len(set(at)) == len(at)
+    # The same below: structures that differ in many children.
+    m = pages.Matching()
+    parts = ["xy"] * 500 + ["xz"] * 40, ["xw"] * 300 + ["xy"] * 400 + ["z"]
+    wide = [m.prepare(tree("b", tree("d", *[tree("u", *[tree(x) for x in part]) for part in side]))) for side in parts]
+    assert m.common(wide[0].shape, wide[1].shape) == 2 + brute_pairs(*parts, lambda a, b: 1 + len(set(a) & set(b)))
+
+
+def test_template_far_down_a_list_is_found(spark):
+    def page(i):
+        # The longer a page's list, the further down its fixed end begins.
+        return "<body><div>" + "".join(f"<p>Item {k} of {i}</p>" for k in range(1 + 400 * (i % 3))) + "".join(
+            f"<p>Fixed line {k} of the site</p>" for k in range(250)) + "".join(f"<p>Last {k} of {i}</p>" for k in range(150 * (i % 2))) + "</div></body>"
+
+    rows = [(i, "http://long.example/", page(i)) for i in range(12)]
+    out = {r.row.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert "Fixed line" not in out[i] and out[i].count("\n") + 1 == 1 + 400 * (i % 3) + 150 * (i % 2)
