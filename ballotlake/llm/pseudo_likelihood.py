@@ -27,10 +27,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,28 +54,43 @@ _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or c == 0x27 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
     for c in range(256))
 LETTERS = sorted(set(_FOLD) - {0x20})
-#: Words outside the vocabulary whose class a task remembers.
-REMEMBERED = 200_000
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def split(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """What ``words`` gives for many texts: all words in order, and where each text's begin among these."""
+    data = b" ".join([b"", *texts, b""]).translate(_FOLD)
+    letter = np.frombuffer(data, np.uint8) != 0x20
+    edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    at = np.searchsorted(begin, offsets([len(t) + 1 for t in texts]) + 1)
+    places = offsets(end - begin).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(places), pa.py_buffer(data.translate(None, b" "))]), at
+
+
 def _counts(batches):
-    total: Counter = Counter()
+    held, n = [], 0
     for batch in batches:
         for part in pieces(batch):
-            for text in raw(part.column("text")):
-                total.update(words(text))
-            if len(total) > COUNTED:
-                yield _counted(total)
-                total = Counter()
-    yield _counted(total)
+            found = split(raw(part.column("text")))[0].value_counts()
+            held.append(pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"]))
+            n += len(found)
+            if n > COUNTED:
+                held = _counted(held)
+                n = sum(x.num_rows for x in held)
+            if n > COUNTED:
+                yield from held
+                held, n = [], 0
+    if held:
+        yield from _counted(held)
 
 
-def _counted(total: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+def _counted(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    total = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.Table.from_arrays([total.column("word"), total.column("n_sum")], ["word", "n"]).to_batches()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -106,6 +122,24 @@ def _ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % REST
 
 
+@cache
+def _endings() -> tuple[np.ndarray, np.ndarray]:
+    """The class of every word of one byte, and of every two bytes at an end."""
+    one = [_ending(bytes([a])) for a in range(256)]
+    return np.array(one), np.array([_ending(bytes([a, b])) for a in range(256) for b in range(256)])
+
+
+def endings(found: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of many words, none of them empty, and their lengths."""
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    places = np.frombuffer(found.buffers()[1], np.int32)[found.offset:found.offset + len(found) + 1].astype(np.int64)
+    data, lengths = np.frombuffer(found.buffers()[2], np.uint8), np.diff(places)
+    one, two = _endings()
+    last = data[places[1:] - 1].astype(np.int64)
+    return np.where(lengths == 1, one[last], two[data[np.maximum(places[1:] - 2, 0)].astype(np.int64) * 256 + last]), lengths
+
+
 class Shares:
     """Log of a word's share of its class, from the counts and the different words of the classes."""
 
@@ -137,39 +171,30 @@ class Shares:
         return np.logaddexp(seen, spelt) - np.log(counts + types)[classes]
 
 
-class _Numbers(dict):
-    """Token numbers of words; the class of any other word, by its last two bytes, is found at its first use."""
-
-    def __init__(self, frequent: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(frequent))
-        self.most = len(frequent) + REMEMBERED
-
-    def __missing__(self, word: bytes) -> int:
-        found = WORDS + _ending(word)
-        if len(self) < self.most:
-            self[word] = found
-        return found
-
-
-def bordered(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens with ``REACH`` border tokens around each text, the places of the real ones, and where each text's begin among these."""
-    border = np.full(REACH, VOCABULARY - 1, np.int64)
-    counts = [len(x) for x in ids]
-    tokens = np.concatenate([border, *(x for own in ids for x in (own, border))])
-    at = offsets(counts)
-    places = np.arange(at[-1]) + REACH * (1 + np.repeat(np.arange(len(ids)), counts))
-    return tokens, places, at
+def bordered(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens with ``REACH`` border tokens around each text, and the places of the real ones; ``at``: where each text's begin."""
+    n = len(at) - 1
+    tokens = np.full(len(ids) + REACH * (n + 1), VOCABULARY - 1, np.int64)
+    places = np.arange(len(ids)) + REACH * (1 + np.repeat(np.arange(n), np.diff(at)))
+    tokens[places] = ids
+    return tokens, places
 
 
 class Tokens:
-    """Token numbers of texts, with borders."""
+    """Token numbers of texts, with borders, the places of the real ones, and where each text's begin among these."""
 
     def __init__(self, frequent: list[bytes]):
-        self.number = _Numbers(frequent)
+        self.frequent = frequent
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        known = self.number.__getitem__
-        return bordered([np.fromiter(map(known, found), np.int64, len(found)) for found in map(words, texts)])
+        found, at = split(texts)
+        found = found.dictionary_encode()
+        ids = WORDS + endings(found.dictionary)[0]
+        known = pa.compute.index_in(pa.array(self.frequent, pa.binary()), value_set=found.dictionary)
+        for i, k in enumerate(known.to_pylist()):
+            if k is not None:
+                ids[k] = i
+        return *bordered(ids[found.indices.to_numpy()], at), at
 
 
 SIDES = [d for d in range(-REACH, REACH + 1) if d]
@@ -193,14 +218,15 @@ class Window:
         out[cut:-1, :WIDTH], out[cut:-1, WIDTH], out[-1, :WIDTH] = self.out, self.bias, self.hidden_bias
         return out
 
-    def _forward(self, tokens: np.ndarray, places: np.ndarray):
-        """The tokens beside each place, the hidden layer, and the softmax before its division: numerators and their sums."""
-        beside = [tokens[places + d] for d in SIDES]
-        total = self.embed[0][beside[0]] + self.hidden_bias
+    def _forward(self, tokens: np.ndarray, places: np.ndarray, room: np.ndarray):
+        """The tokens beside each place, the hidden layer, and the softmax before its division: numerators, in ``room``, and their sums."""
+        beside = [tokens.take(places + d) for d in SIDES]
+        total = self.embed[0].take(beside[0], axis=0)
+        total += self.hidden_bias
         for k in range(1, len(SIDES)):
-            total += self.embed[k][beside[k]]
+            total += self.embed[k].take(beside[k], axis=0)
         hidden = np.tanh(total, out=total)
-        logits = hidden @ self.out.T
+        logits = np.matmul(hidden, self.out.T, out=room[:len(places)])
         logits += self.bias
         if self._wide():
             logits -= logits.max(1, keepdims=True)
@@ -212,18 +238,19 @@ class Window:
         return bool((np.abs(self.out).sum(1) + np.abs(self.bias)).max() > 60)
 
     def log_probabilities(self, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
-        out = np.empty(len(places))
+        out, room = np.empty(len(places)), np.empty((BATCH, VOCABULARY), np.float32)
         for a in range(0, len(places), BATCH):
             at = places[a:a + BATCH]
-            _, _, e, total = self._forward(tokens, at)
+            _, _, e, total = self._forward(tokens, at, room)
             out[a:a + BATCH] = np.log(np.maximum(e[np.arange(len(at)), tokens[at]] / total, 1e-12))
         return out
 
     def train(self, tokens: np.ndarray, places: np.ndarray) -> None:
+        room = np.empty((BATCH, VOCABULARY), np.float32)
         for a in range(0, len(places), BATCH):
             at = places[a:a + BATCH]
             wanted = tokens[at]
-            beside, hidden, e, total = self._forward(tokens, at)
+            beside, hidden, e, total = self._forward(tokens, at, room)
             share = (1 / total)[:, None]
             back = ((e @ self.out) * share - self.out[wanted]) * (1 - hidden ** 2)
             rate = np.float32(RATE * min(1.0, len(at) / BATCH) / len(at))
@@ -240,7 +267,7 @@ def _sums(tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
     own = tokens[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     out = np.zeros((VOCABULARY, rows.shape[1]), np.float32)
-    out[own[first]] = np.add.reduceat(rows[order], first, axis=0)
+    out[own[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -311,18 +338,24 @@ def score_words(docs: DataFrame, frequent: list[bytes], network: Window, counts:
     blocks = max(1, math.ceil(total / block_bytes))
     rows = with_row(docs).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     rows = rows.repartition(blocks, "block")
-    classed = frozenset(frequent)
 
     def different(batches):
         """(block, word) of the words of classes, each once per block and piece."""
         for batch in batches:
             for part in pieces(batch, "row.text"):
-                found: dict[int, set] = {}
-                for block, text in zip(part.column("block").to_pylist(), raw(of(part, "row.text"))):
-                    found.setdefault(block, set()).update(words(text))
-                for block, own in found.items():
-                    own -= classed
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.binary())], ["block", "word"])
+                block = part.column("block").to_numpy()
+                order = np.argsort(block, kind="stable")
+                texts = raw(of(part, "row.text"))
+                found, at = split([texts[i] for i in order.tolist()])
+                found = found.dictionary_encode()
+                place, classed = found.indices.to_numpy(), pa.compute.is_in(found.dictionary, value_set=pa.array(frequent, pa.binary()))
+                others, had = ~classed.to_numpy(zero_copy_only=False), np.zeros(len(found.dictionary), bool)
+                for begin, stop in zip(starts := [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist()], [*starts[1:], len(order)]):
+                    had[place[at[begin]:at[stop]]] = True
+                    own = np.flatnonzero(had & others)
+                    had[:] = False
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(own), block[order[begin]], np.int32)), found.dictionary.take(pa.array(own))], ["block", "word"])
 
     had = rows.mapInArrow(different, "block int, word binary").dropDuplicates(["block", "word"])
     counted = had.join(counts, "word", "left").select("block", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
@@ -330,18 +363,21 @@ def score_words(docs: DataFrame, frequent: list[bytes], network: Window, counts:
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         # Every word of the block has a place here: its token, and the log of its share of its class.
-        others = right.column("word").to_pylist()
-        place = {w: i for i, w in enumerate([*frequent, *others])}
-        classes = np.fromiter(map(_ending, others), np.int64, len(others))
-        lengths = np.fromiter(map(len, others), np.int64, len(others))
+        others = pa.concat_arrays([pa.array([], pa.binary()), *right.column("word").cast(pa.binary()).chunks])
+        classes, lengths = endings(others)
         token = np.concatenate([np.arange(len(frequent)), WORDS + classes])
         own = np.concatenate([np.zeros(len(frequent)), shares.of_words(classes, lengths, right.column("n").to_numpy())])
+        known = pa.concat_arrays([pa.array(frequent, pa.binary()), others])
         out = []
         for batch in left.select(["row"]).combine_chunks().to_batches():
             for part in pieces(batch, "row.text"):
-                at_words = [np.fromiter(map(place.__getitem__, found), np.int64, len(found)) for found in map(words, raw(of(part, "row.text")))]
-                ids, places, at = bordered([token[x] for x in at_words])
-                flat = np.concatenate(at_words) if at_words else np.zeros(0, np.int64)
+                found, at = split(raw(of(part, "row.text")))
+                found = found.dictionary_encode()
+                place = pa.compute.index_in(found.dictionary, value_set=known)
+                if place.null_count:
+                    raise ValueError("a block's words are not those its rows had before: the input gave other rows when read again")
+                flat = place.to_numpy().astype(np.int64)[found.indices.to_numpy()]
+                ids, places = bordered(token[flat], at)
                 total = _per_text(network.log_probabilities(ids, places) + own[flat], at)
                 out.append(pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(np.diff(at)), pa.array(total)], ["row", "n_tokens", "log_likelihood"]))

@@ -139,3 +139,32 @@ def test_every_word_has_its_own_probability(spark):
             assert abs(out[i].log_likelihood - plain[i].log_likelihood - extra) < 1e-6
     empty = lm.score_words(asked.limit(0), frequent, network, counts, shares)
     assert empty.count() == 0
+
+
+def test_texts_split_at_once_have_the_same_words():
+    rnd = np.random.default_rng(2)
+    texts = [b"", b" ", b"One", b"  b C ", "\u00e9 'x\u2603 \U0001F600".encode(), b"", b"a" * 3000, b"\n"]
+    texts += [bytes(rnd.choice(np.frombuffer(b"abAB '09.\xc3\xa9", np.uint8), 40)) for _ in range(60)]
+    for some in (texts, texts[:1], [], texts[::-1]):
+        found, at = lm.split(some)
+        assert found.to_pylist() == [w for t in some for w in lm.words(t)]
+        assert np.diff(at).tolist() == [len(lm.words(t)) for t in some]
+        for own in (found, found.slice(min(3, len(found)))):
+            classes, lengths = lm.endings(own)
+            assert classes.tolist() == [lm._ending(w) for w in own.to_pylist()] and lengths.tolist() == list(map(len, own.to_pylist()))
+        frequent = [b"one", b"a", b"never"]
+        ids, places, at = lm.Tokens(frequent)(some)
+        want = [[frequent.index(w) if w in frequent else lm.WORDS + lm._ending(w) for w in lm.words(t)] for t in some]
+        border = [lm.VOCABULARY - 1] * lm.REACH
+        assert ids.tolist() == border + [i for own in want for i in own + border]
+        assert ids[places].tolist() == [i for own in want for i in own]
+
+
+def test_words_are_counted_once_over_many_hand_overs(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COUNTED", 10)
+    batches = [lm.pa.RecordBatch.from_arrays([lm.pa.array([f"w{k} the x{k % 3}", None, "The"])], ["text"]) for k in range(40)]
+    total = {}
+    for b in lm._counts(iter(batches)):
+        for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
+            total[w] = total.get(w, 0) + n
+    assert total[b"the"] == 80 and total[b"x0"] == 14 and len(total) == 44 and sum(total.values()) == 160
