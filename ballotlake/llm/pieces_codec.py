@@ -161,14 +161,15 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     scores = _constants([s for _, _, s in vocabulary.rows] + [vocabulary.unknown]).cast("array<double>")
     none = len(vocabulary.rows)
     size = F.length("word")
-    begun = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    # Words are numbered as they come: edges then arrive in the order they are grouped in, and nothing is left to sort.
+    begun = words.select("word", F.monotonically_increasing_id().alias("at")).select("at", "word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     cut = begun.select(
-        "word", "start",
+        "at", "word", "start",
         F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start") + 1))).alias("n"))
     cut = cut.withColumn("piece", F.substring("word", F.col("start"), F.col("n")))
     found = cut.join(F.broadcast(table), "piece", "left").where(F.col("row").isNotNull() | (F.col("n") == 1))
-    edges = found.select("word", _edge(F.col("start") + F.col("n") - 1, F.col("start") - 1, F.coalesce("row", F.lit(none))).alias("edge"))
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edges = found.select("at", "word", _edge(F.col("start") + F.col("n") - 1, F.col("start") - 1, F.coalesce("row", F.lit(none))).alias("edge"))
+    grouped = edges.groupBy("at", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     opened = F.transform("edges", lambda e: F.struct(
         _end(e).alias("end"), _start(e).alias("start"), F.get(scores, _row(e)).alias("own"), e.alias("edge")))
 
@@ -318,12 +319,13 @@ def _path_batches(batches):
         table, block = table.take(order), block[order]
         for begin, stop in zip(starts := [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()], [*starts[1:], len(block)]):
             some = table.slice(begin, stop - begin)
-            words = [w.encode() for w in some.column("word").to_pylist()]
+            words = some.column("word").combine_chunks().cast(pa.large_binary())
+            ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
             lists = some.column("rows").combine_chunks()
             sizes = np.diff(np.asarray(lists.offsets))
             data = b"".join([
-                np.int32(len(words)).tobytes(), np.array([len(w) for w in words], np.int32).tobytes(), sizes.astype(np.int32).tobytes(),
-                lists.flatten().to_numpy().astype(np.int32).tobytes(), *words])
+                np.int32(len(words)).tobytes(), np.diff(ends).astype(np.int32).tobytes(), sizes.astype(np.int32).tobytes(),
+                lists.flatten().to_numpy().astype(np.int32).tobytes(), words.buffers()[2][int(ends[0]):int(ends[-1])]])
             yield pa.RecordBatch.from_arrays([
                 pa.array([block[begin]], pa.int32()), pa.array([0], pa.int32()), pa.array([squeeze(data)], pa.binary())], ["block", "kind", "data"])
 
@@ -430,7 +432,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYT
     rows = with_row(docs).withColumn("part", F.spark_partition_id())
     blocks = _Blocks(rows, block_bytes)
     texts = rows.select(F.struct("row.text").alias("row"), "part")
-    had = texts.mapInArrow(_different_units(blocks), "block int, word string").repartition("word")
+    had = texts.mapInArrow(_different_units(blocks), "block int, word string")
+    # No unit is null; the join below would say so on one branch only, and the two would not read the same shuffle.
+    had = had.where(F.col("word").isNotNull()).repartition("word")
     # The least block is not needed; with it, this branch reads the same shuffle as the one below.
     words = had.groupBy("word").agg(F.min("block").alias("block"))
     paths = had.join(lattice(words.where(F.col("block") >= 0), vocabulary), "word").select("block", "word", "rows")

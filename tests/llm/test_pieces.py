@@ -118,3 +118,30 @@ def test_search_equals_lattice(spark, vocabulary):
     frame = spark.createDataFrame([(w,) for w in words], "word string")
     for r in codec.lattice(frame, vocabulary).collect():
         assert search(r.word) == r.rows, r.word
+
+
+def test_edges_are_grouped_in_the_order_they_come(spark, vocabulary):
+    words = spark.createDataFrame([(f"{codec.MARK}word{i % 300}",) for i in range(300)], "word string").repartition(3, "word")
+    plan = codec.lattice(words, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "ObjectHashAggregate(keys=" in line]
+    assert grouped and all("keys=[at#" in line for line in grouped), plan
+
+
+def test_units_travel_packed_as_they_are(vocabulary):
+    import pyarrow as pa
+    units = [f"{codec.MARK}the{k}" for k in range(5)] + ["é" * k for k in range(1, 6)] + [codec.MARK * 3, "x", "\U0001F600", "，", codec.MARK]
+    blocks = [k % 2 for k in range(len(units))]
+    rows = [[k, k + 1] if k % 3 else [-1 - ord("é"), k] for k in range(len(units))]
+    batch = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(units), pa.array(rows, pa.list_(pa.int32()))], ["block", "word", "rows"])
+    for own in ([batch], [batch.slice(4, 7), batch.slice(0, 4), batch.slice(11)]):
+        found = {0: {}, 1: {}}
+        for out in codec._path_batches(iter(own)):
+            for block, kind, data in zip(*(out.column(c).to_pylist() for c in ("block", "kind", "data"))):
+                import zstandard
+                words = codec._Words(vocabulary, None)
+                words.load(zstandard.ZstdDecompressor().decompress(data))
+                assert kind == 0
+                found[block] |= {codec.MARK + w: i for w, i in words.items()} | words.units
+        made = codec._Words(vocabulary, None)
+        for block in found:
+            assert found[block] == {u: made.bytes_of(r) for u, r, b in zip(units, rows, blocks) if b == block}
