@@ -132,22 +132,25 @@ def units_of(word: str) -> list[str]:
     return _UNITS.findall(MARK + word)
 
 
-# An edge in one long: where it ends, where it starts, and the row of the score table.  Of two that end at one place
-# the longer one is the greater.
+# An edge in one long: where it ends, where it starts, and the row of the score table.  Of those that end at one place
+# the longest comes first.
+_BELOW_END = (1 << 40) - 1
+
+
 def _edge(end: Column, start: Column, row: Column) -> Column:
-    return F.shiftleft(end.cast("long"), 40) + F.shiftleft((F.lit(0xFFFF) - start).cast("long"), 24) + row.cast("long")
+    return F.shiftleft(end.cast("long"), 40) + F.shiftleft(start.cast("long"), 24) + row.cast("long")
 
 
 def _end(e: Column) -> Column:
-    return F.shiftright(e, 40).cast("int")
+    return F.shiftright(e, 40)
 
 
 def _start(e: Column) -> Column:
-    return (F.lit(0xFFFF) - F.shiftright(e, 24).bitwiseAND(F.lit(0xFFFF))).cast("int")
+    return F.shiftright(e, 24).bitwiseAND(F.lit(0xFFFF))
 
 
 def _row(e: Column) -> Column:
-    return e.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
+    return e.bitwiseAND(F.lit(0xFFFFFF))
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -170,32 +173,33 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     found = cut.join(F.broadcast(table), "piece", "left").where(F.col("row").isNotNull() | (F.col("n") == 1))
     edges = found.select("at", "word", _edge(F.col("start") + F.col("n") - 1, F.col("start") - 1, F.coalesce("row", F.lit(none))).alias("edge"))
     grouped = edges.groupBy("at", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    opened = F.transform("edges", lambda e: F.struct(
-        _end(e).alias("end"), _start(e).alias("start"), F.get(scores, _row(e)).alias("own"), e.alias("edge")))
 
-    # Settled positions have their best score and last edge in the arrays; that of the current end is in ``best``.
+    # Settled positions have their best score and last edge in the arrays; those of the current end, to which edges up to
+    # ``until`` lead, are in ``best`` and ``edge``.  The first edge beyond settles them, and may itself start there: that score
+    # is not in its array yet.  An edge no better than a longer one before it leaves the state as it is.
     def step(s: Column, e: Column) -> Column:
-        before = F.when(e["start"] == s["end"], s["best"]["score"]).otherwise(F.get(s["score"], e["start"]))
-        found = F.struct((before + e["own"]).alias("score"), e["edge"].alias("edge"))
-        return F.when(e["end"] > s["end"], F.struct(
-            F.array_append(s["score"], s["best"]["score"]).alias("score"), F.array_append(s["back"], s["best"]["edge"]).alias("back"),
-            e["end"].alias("end"), found.alias("best"),
-        )).otherwise(F.struct(
-            s["score"].alias("score"), s["back"].alias("back"), s["end"].alias("end"), F.greatest(found, s["best"]).alias("best")))
+        before, own = F.get(s["score"], _start(e)), F.get(scores, _row(e))
+        opened = F.struct(
+            F.array_append(s["score"], s["best"]).alias("score"), F.array_append(s["back"], s["edge"]).alias("back"),
+            e.bitwiseOR(F.lit(_BELOW_END)).alias("until"), (F.coalesce(before, s["best"]) + own).alias("best"), e.alias("edge"))
+        better = F.struct(
+            s["score"].alias("score"), s["back"].alias("back"), s["until"].alias("until"), (before + own).alias("best"), e.alias("edge"))
+        return F.when(e > s["until"], opened).when(before + own > s["best"], better).otherwise(s)
 
     first = F.struct(
-        F.array().cast("array<double>").alias("score"), F.array().cast("array<bigint>").alias("back"), F.lit(0).alias("end"),
-        F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("edge")).alias("best"))
-    back = F.aggregate(opened, first, step, lambda s: F.array_append(s["back"], s["best"]["edge"]))
+        F.array().cast("array<double>").alias("score"), F.array().cast("array<bigint>").alias("back"), F.lit(_BELOW_END).alias("until"),
+        F.lit(0.0).alias("best"), F.lit(0).cast("bigint").alias("edge"))
+    back = F.aggregate("edges", first, step, lambda s: F.array_append(s["back"], s["edge"]))
     folded = grouped.select("word", F.reverse(back).alias("back"))
 
     def walk(s: Column, e: Column) -> Column:
-        here = (s["at"] > 0) & (_end(e) == s["at"])
+        here = (_end(e) == s["at"]) & (s["at"] > 0)
         return F.when(here, F.struct(_start(e).alias("at"), F.array_append(s["path"], e).alias("path"))).otherwise(s)
 
-    last = F.struct(F.length("word").alias("at"), F.array().cast("array<bigint>").alias("path"))
+    last = F.struct(F.length("word").cast("long").alias("at"), F.array().cast("array<bigint>").alias("path"))
     path = F.reverse(F.aggregate("back", last, walk, lambda s: s["path"]))
-    rows = F.transform(path, lambda e: F.when(_row(e) == none, -1 - F.ascii(F.substring("word", _start(e) + 1, F.lit(1)))).otherwise(_row(e)))
+    rows = F.transform(path, lambda e: F.when(
+        _row(e) == none, -1 - F.ascii(F.substring("word", (_start(e) + 1).cast("int"), F.lit(1)))).otherwise(_row(e).cast("int")))
     return folded.select("word", rows.alias("rows"))
 
 

@@ -127,6 +127,24 @@ def test_edges_are_grouped_in_the_order_they_come(spark, vocabulary):
     assert grouped and all("keys=[at#" in line for line in grouped), plan
 
 
+def test_fold_takes_the_edges_as_they_are(spark, vocabulary):
+    words = spark.createDataFrame([(f"{codec.MARK}word",)], "word string")
+    plan = codec.lattice(words, vocabulary)._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(edges#" in plan and "transform(edges#" not in plan, plan
+
+
+def test_of_equal_paths_the_longer_last_piece_stays(spark):
+    rnd = random.Random(9)
+    found = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 5))) for _ in range(40)})
+    tied = codec.Vocabulary([(p, k, -float(len(p))) for k, p in enumerate(found)] + [("c", len(found), 0.0)], list(range(256)), [])
+    words = list({"".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 30))) for _ in range(150)})
+    search = codec.Search(tied)
+    out = codec.lattice(spark.createDataFrame([(w,) for w in words], "word string"), tied).collect()
+    assert len(out) == len(words)
+    for r in out:
+        assert search(r.word) == r.rows, r.word
+
+
 def test_units_travel_packed_as_they_are(vocabulary):
     import pyarrow as pa
     units = [f"{codec.MARK}the{k}" for k in range(5)] + ["é" * k for k in range(1, 6)] + [codec.MARK * 3, "x", "\U0001F600", "，", codec.MARK]
